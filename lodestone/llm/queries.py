@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import class_lm, html_text, langid, packing, pii, secrets, simhash_dedup, token_files
+from lodestone.llm import class_lm, decontaminate, hnsw, html_text, langid, packing, pii, secrets, simhash_dedup, token_files
 from lodestone.llm.common import table
 
 
@@ -35,10 +35,18 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -55,7 +63,9 @@ QUERIES = {
         op3_language_id,
         op4_best_fit_packing,
         op5_token_files,
+        op6_decontamination,
         op7_secret_scan,
+        op8_hnsw,
         op9_html_text,
         op10_pii,
     )
