@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_of_id, materialise
+from lodestone.llm.common import crc_of_id, map_arrow, materialise
 
 HEAD = 2048
 CLASSES = 62
@@ -80,7 +80,7 @@ def encode(docs: DataFrame, train: Column) -> DataFrame:
             yield state.row(base + made)
 
     rows = docs.select(F.col("doc_id").cast("long"), train.alias("train"), F.col("text").cast("string").cast("binary"))
-    return rows.mapInArrow(run, CHUNK_SCHEMA)
+    return map_arrow(rows, run, CHUNK_SCHEMA)
 
 
 class _Chunk:
@@ -146,7 +146,7 @@ def most_frequent(chunks: DataFrame) -> list[tuple[bytes, int]]:
             words = pa.array(_words(row), pa.binary()).take(pa.array(kept))
             yield pa.RecordBatch.from_arrays([words, pa.array(counts[kept])], names=["word", "n"])
 
-    sums = chunks.select("words", "counts").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = map_arrow(chunks.select("words", "counts"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = sums.orderBy(F.length("word") > 0, F.desc("n"), "word").limit(HEAD + 1).collect()
     return [(bytes(r[0]), r[1]) for r in top]
 
@@ -165,7 +165,7 @@ def head_bigrams(chunks: DataFrame, head: list[bytes]) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
 
-    pairs = chunks.select("words", "seq", "ends", "train").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = map_arrow(chunks.select("words", "seq", "ends", "train"), run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     got = pairs.toArrow()
     bigrams = np.zeros(size * size)
     bigrams[got["pair"].to_numpy()] = got["n"].to_numpy()
@@ -262,7 +262,7 @@ def tail_words(chunks: DataFrame, head: dict[bytes, int]) -> DataFrame:
                 names=["word", "chunk", "at", "n", "near"],
             )
 
-    return chunks.mapInArrow(run, "word binary, chunk long, at int, n long, near binary")
+    return map_arrow(chunks, run, "word binary, chunk long, at int, n long, near binary")
 
 
 def totalled(tail: DataFrame, told: np.ndarray) -> DataFrame:
@@ -316,7 +316,7 @@ def totalled(tail: DataFrame, told: np.ndarray) -> DataFrame:
             yield done(pa.Table.from_batches(held))
 
     ordered = tail.repartition("word").sortWithinPartitions("word")
-    return ordered.mapInArrow(run, "chunk long, at int, total long, cls short, first boolean")
+    return map_arrow(ordered, run, "chunk long, at int, total long, cls short, first boolean")
 
 
 DOC_SCHEMA = (
@@ -387,7 +387,7 @@ def transitions(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
 
-    cells = texts.filter("train").select("classes").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    cells = map_arrow(texts.filter("train").select("classes"), run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = np.zeros(KINDS * KINDS)
     for r in cells.collect():
         counts[r["pair"]] = r["n"]
@@ -457,7 +457,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
         F.col("unseen").alias("n_unseen"),
         "classes",
     )
-    out = rows.mapInArrow(run, rows.drop("classes").schema)
+    out = map_arrow(rows, run, rows.drop("classes").schema)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "n_unseen"
     )

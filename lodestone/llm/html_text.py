@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import map_arrow
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 "
@@ -212,4 +214,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html_col).cast("string").alias("h")
     )
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(rows, run, "page_id long, url string, text string, n_chars long")

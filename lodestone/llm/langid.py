@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_of_id
+from lodestone.llm.common import crc_of_id, map_arrow
 
 UNKNOWN = "und"
 MATRIX_BYTES = 256 << 20
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", bucket
     rows = docs.select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("l")).filter(
         "t is not null and l is not null"
     )
-    sums = rows.mapInArrow(run, "lang string, b int, n long").groupBy("lang", "b").agg(F.sum("n").alias("n"))
+    sums = map_arrow(rows, run, "lang string, b int, n long").groupBy("lang", "b").agg(F.sum("n").alias("n"))
     langs = [r[0] for r in sums.filter(F.col("b") == buckets).select("lang").orderBy("lang").collect()]
     if len(langs) * buckets * 8 > MATRIX_BYTES:
         raise ValueError(f"{len(langs)} languages x {buckets} buckets exceed the size that may be broadcast")
@@ -124,7 +124,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return map_arrow(rows, run, f"{schema}, lang_pred string, score double")
 
 
 def is_held_out(id_col: str = "doc_id"):
@@ -149,4 +149,4 @@ def stage(docs: DataFrame, least: float = 0.5) -> DataFrame:
             said = [shared.value.predict(x.as_py()) for x in batch.column(at)]
             yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in said], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

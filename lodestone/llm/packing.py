@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import map_arrow, materialise
 from lodestone.llm.tokens import encoder
 
 CAPACITY = 4096
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
+    return map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from lodestone.llm.common import scratch_path
+from lodestone.llm.common import map_arrow, scratch_path
 
 RULES = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
@@ -73,7 +73,7 @@ def _addressed(docs: DataFrame, text_col: str) -> DataFrame:
                     packed.append(pack.compress(raw))
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(packed, pa.binary())], names=["blob", "z"])
 
-    return docs.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "blob binary, z binary")
+    return map_arrow(docs.select(F.col(text_col).cast("string").cast("binary")), run, "blob binary, z binary")
 
 
 def _scanned(blobs: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def _scanned(blobs: DataFrame) -> DataFrame:
                     spans.append([dict(zip(("start", "kind_no", "kind", "end"), s, strict=True)) for s in scan(text)])
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary()), pa.array(spans, kind)], names=["blob", "spans"])
 
-    return blobs.repartition("blob").mapInArrow(run, f"blob binary, spans {SPANS}")
+    return map_arrow(blobs.repartition("blob"), run, f"blob binary, spans {SPANS}")
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame | None:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lodestone.llm.common import connected_components, materialise
+from lodestone.llm.common import connected_components, map_arrow, materialise
 
 BITS = 64
 RADIUS = 2
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return map_arrow(rows, run, "id long, fp long")
 
 
 def block_keys() -> list:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from lodestone.llm.common import scratch_path
+from lodestone.llm.common import map_arrow, scratch_path
 from lodestone.llm.tokens import encoder
 
 INDEX_MAGIC, TABLE_MAGIC, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, b"\xb1\xea\x92\x8f"
@@ -178,7 +178,7 @@ def write(
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     # The separator after each record is the magic that every archive ends with.
     (
-        ordered.mapInArrow(run, "value binary")
+        map_arrow(ordered, run, "value binary")
         .select(F.col("value").cast("string").alias("value"))
         .write.option("maxRecordsPerFile", 1)
         .option("encoding", "ISO-8859-1")
@@ -222,7 +222,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array([file] * len(rows)), *[pa.array(c, pa.int64()) for c in cols]], names=FOUND.names
                 )
 
-    return _files(spark, path).mapInArrow(run, FOUND)
+    return map_arrow(_files(spark, path), run, FOUND)
 
 
 def read_documents(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
@@ -239,7 +239,7 @@ def read_documents(spark: SparkSession, path: str, wanted: list[int]) -> DataFra
                         names=["doc_id", "ids"],
                     )
 
-    return _files(spark, path).mapInArrow(run, "doc_id long, ids array<long>")
+    return map_arrow(_files(spark, path), run, "doc_id long, ids array<long>")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> DataFrame:

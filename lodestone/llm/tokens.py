@@ -11,7 +11,7 @@ import os
 import re
 from functools import lru_cache
 
-LIMIT = 600_000
+LIMIT = 400_000
 #: Unicode white space; unlike ``str.split``, without the separators U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The visible character that byte-level models use for each byte: itself, or for others U+0100 onwards in their order.
