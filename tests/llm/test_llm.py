@@ -239,3 +239,31 @@ def test_near_copies(spark, docs, none):
     ids = sorted(str(r["doc_id"]) for r in kept.collect())
     assert ids == sorted(map(str, [0, 2, 4, 5, 6, 7, 8, 9, 50, 52, None]))
     assert near_copies.stage(none).count() == 0
+
+
+def test_near_copy_classes_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for g in range(6):
+        base = [f"w{rng.integers(0, 5000)}" for _ in range(int(rng.integers(60, 300)))]
+        for _ in range(40 if g == 0 else 12):
+            own = list(base)
+            for at in rng.integers(0, len(own), rng.integers(0, 6)):
+                own[at] = f"x{rng.integers(0, 99999)}"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [b if x == a else x for x in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bucket, whole in ((512, True), (4, False)):
+        found = {r["id"]: r["root"] for r in near_copies.classes(docs, bucket=bucket).collect()}
+        of: dict[int, set[int]] = {}
+        for i in range(len(texts)):
+            of.setdefault(found[i], set()).add(root[i])
+        assert all(len(x) == 1 for x in of.values())  # never joins what brute force keeps apart
+        if whole:
+            assert len(of) == len(set(root))
