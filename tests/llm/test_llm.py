@@ -259,8 +259,8 @@ def test_near_copy_classes_equal_brute_force(spark):
                 a, b = root[i], root[j]
                 root = [b if x == a else x for x in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for bucket, whole in ((512, True), (4, False)):
-        found = {r["id"]: r["root"] for r in near_copies.classes(docs, bucket=bucket).collect()}
+    for bucket, most, whole in ((512, near_copies.MOST_SHINGLES, True), (512, 0, True), (4, near_copies.MOST_SHINGLES, False)):
+        found = {r["id"]: r["root"] for r in near_copies.classes(docs, bucket=bucket, most=most).collect()}
         of: dict[int, set[int]] = {}
         for i in range(len(texts)):
             of.setdefault(found[i], set()).add(root[i])
