@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import chunking, fusion, incremental, metrics
+from lodestone.operators import chunking, fusion, incremental, metrics, selection
 from lodestone.operators import evidence as ev
 from lodestone.operators import index as ix
 from lodestone.operators import rankers as rk
@@ -532,3 +532,76 @@ def grouped_folds(spark, sf):
         F.lit("all").alias("repository"), F.col("item_id").cast("string").alias("question"), (F.col("item_id") % 3).alias("category"), (F.col("item_id") % 2).alias("difficulty")
     )
     return metrics.grouped_folds(items)
+
+
+@query("""SELECT doc, token_id, round(ln(1 + ln(1 + m)), 6) AS weight FROM (SELECT label AS doc, i::INT AS token_id, max(embedding[i + 1])::DOUBLE AS m FROM embeddings, range(64) g(i) WHERE vec_id % 5 <> 0 GROUP BY ALL) WHERE m > 0 AND token_id <> 3""")
+def sparse_encoding(spark, sf):
+    rows = _read(spark, sf, "embeddings").filter("vec_id % 5 <> 0")
+    logits = rows.select(F.col("label").alias("doc"), F.col("vec_id").alias("position"), F.posexplode("embedding").alias("token_id", "logit"))
+    return selection.sparse_documents(logits, [3]).select("doc", "token_id", *_six("weight"))
+
+
+@query(f"""SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(list_transform({TOKENS.format(x="text")}, lambda t: length(t)), lambda n: n <> 3 AND n <> 5))), ' ') AS ids FROM benchmark""")
+def sparse_query_encoding(spark, sf):
+    ids = F.transform(tx.tokenize(F.col("text")), F.length)
+    return _read(spark, sf, "benchmark").select("item_id", F.array_join(F.transform(selection.sparse_query_ids(ids, [3, 5]), lambda x: x.cast("string")), " ").alias("ids"))
+
+
+_GRID = " ".join(f"(n // {3**i}) % 3 AS {c}," for i, c in enumerate(rk.CHANNELS)).rstrip(",")
+
+
+@query(f"""{_RR}, {_norm_sql("rrf")}, cand AS (SELECT n AS candidate, {_GRID} FROM range(1, 243) g(n)),
+cw AS (SELECT * FROM (UNPIVOT cand ON {", ".join(rk.CHANNELS)} INTO NAME channel VALUE weight) WHERE weight > 0),
+f AS (SELECT candidate, query_id, ordinal, sum(weight * norm) AS score FROM norms JOIN cw USING (channel) GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY candidate, query_id ORDER BY round(score, 9) DESC, ordinal) AS rank FROM f),
+pt AS (SELECT c.candidate, g.query_id, {", ".join(f"avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END) AS r{k}" for k in (5, 10, 20))} FROM cand c CROSS JOIN gold g LEFT JOIN fr ON fr.candidate = c.candidate AND fr.query_id = g.query_id AND fr.ordinal = g.ordinal GROUP BY ALL),
+q AS (SELECT candidate, avg(r5) AS r5, avg(r10) AS r10, avg(r20) AS r20 FROM pt GROUP BY 1),
+a AS (SELECT *, concat_ws('+', {", ".join(f"CASE WHEN {c} > 0 THEN '{c}' END" for c in rk.CHANNELS)}) AS active FROM cand JOIN q USING (candidate)),
+b AS (SELECT *, row_number() OVER (PARTITION BY active ORDER BY round(r20, 9) DESC, round(r10, 9) DESC, round(r5, 9) DESC, candidate) AS n FROM a)
+SELECT active, candidate, round(r5, 6) AS recall_5, round(r10, 6) AS recall_10, round(r20, 6) AS recall_20 FROM b WHERE n = 1""")
+def best_weights_per_subset(spark, sf):
+    grid = spark.range(1, 3**5).withColumnRenamed("id", "candidate")
+    grid = grid.select("candidate", *[(F.floor(F.col("candidate") / 3**i) % 3).cast("double").alias(c) for i, c in enumerate(rk.CHANNELS)])
+    norms = fusion.normalized(_corpus(spark, sf).rankings(_queries(spark, sf)), "rrf")
+    found = selection.candidate_quality(selection.candidate_ranks(norms, grid), grid, _gold(spark, sf))
+    return selection.best_of_subsets(grid, found).select("active", "candidate", *_six("recall_5", "recall_10", "recall_20"))
+
+
+@query("""WITH s AS (SELECT turn AS query_id, turn % 4 AS form, conv_id % 3 AS repository, conv_id * 1000 + turn AS id FROM conversations), g AS (SELECT form, repository, row_number() OVER (ORDER BY min(id)) AS place FROM s GROUP BY ALL),
+t AS (SELECT id, s.form, s.repository, row_number() OVER (PARTITION BY s.form, s.repository ORDER BY id) AS turn, place FROM s JOIN g USING (form, repository)),
+o AS (SELECT *, row_number() OVER (ORDER BY turn, place) AS n FROM t)
+SELECT id, form, repository FROM o WHERE n <= greatest(32, ceil(0.25 * (SELECT count(*) FROM s)))""")
+def proxy_sampling(spark, sf):
+    rows = _read(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS id", "turn % 4 AS form", "conv_id % 3 AS repository")
+    return selection.proxy_samples(rows, ["form", "repository"], "id")
+
+
+def _blocker_side(channel: str) -> str:
+    ks = ", ".join(f"avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END) AS recall_{k}" for k in (5, 20))
+    return f"""SELECT repository, unnest(['recall_5', 'recall_20']) AS metric, unnest([avg(recall_5), avg(recall_20)]) AS value FROM (
+  SELECT query_id % 3 AS repository, query_id, coalesce(recall_5, 1) AS recall_5, coalesce(recall_20, 1) AS recall_20 FROM qs LEFT JOIN (
+    SELECT query_id, {ks} FROM gold LEFT JOIN (SELECT * FROM ranks WHERE channel = '{channel}') USING (query_id, ordinal) GROUP BY 1) USING (query_id)) GROUP BY 1"""
+
+
+@query(f"""WITH {BASE}, {_GOLD}, a AS ({_blocker_side("camelcase")}), b AS ({_blocker_side("bm25")})
+SELECT repository, metric, round(a.value, 6) AS candidate_value, round(b.value, 6) AS baseline_value, round(a.value - b.value, 6) AS delta FROM a JOIN b USING (repository, metric) WHERE round(a.value - b.value, 12) < -0.01""")
+def guardrail_blockers(spark, sf):
+    asked, gold = _queries(spark, sf), _gold(spark, sf)
+
+    def side(ranking):
+        per = metrics.recall(asked, metrics.target_ranks(ranking, gold), (5, 20)).withColumn("repository", F.col("query_id") % 3)
+        return per.groupBy("repository").agg(F.avg("recall_5").alias("recall_5"), F.avg("recall_20").alias("recall_20"))
+
+    camel = rk.ranked("camelcase", rk.rank_camelcase(asked, ix.identifier_words(_identifiers(_chunks(spark, sf)))))
+    got = selection.guardrail_blockers(side(camel), side(_bm25(spark, sf)), ["repository"], ["recall_5", "recall_20"])
+    return got.select("repository", "metric", *_six("candidate_value", "baseline_value", "delta"))
+
+
+@query("""WITH r AS (SELECT l_returnflag AS flag, l_linenumber AS config, l_discount - 0.05 AS drop FROM lineitem), c AS (SELECT flag, config, count(*) AS n FROM r GROUP BY ALL),
+s AS (SELECT flag, sum(n)::BIGINT AS folds, count(*) AS distinct_selections, max(n) / sum(n)::DOUBLE AS f FROM c GROUP BY 1),
+p AS (SELECT flag, drop, row_number() OVER (PARTITION BY flag ORDER BY drop) AS place FROM r)
+SELECT flag, folds, distinct_selections, round(f, 6) AS selection_frequency, round(max(drop) FILTER (place = folds // 2 + 1), 6) AS median_drop, round(greatest(0, max(drop)), 6) AS worst_drop FROM p JOIN s USING (flag) GROUP BY ALL""")
+def selection_stability(spark, sf):
+    rows = _read(spark, sf, "lineitem").selectExpr("l_returnflag AS flag", "l_linenumber AS config", "l_discount - 0.05D AS drop")
+    got = selection.stability(rows, ["flag"])
+    return got.select("flag", "folds", "distinct_selections", *_six("selection_frequency", "median_drop", "worst_drop"))

@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import chunking, fusion, incremental, metrics
+from lodestone.operators import chunking, fusion, incremental, metrics, selection
 from lodestone.operators import evidence as ev
 from lodestone.operators import index as ix
 from lodestone.operators import rankers as rk
-from lodestone.sources import snapshot
+from lodestone.sources import aliases, snapshot
 from lodestone.sources.ignore import path_filter
 from lodestone.streaming.incremental import index_stream
 
@@ -134,3 +134,67 @@ def test_stream(spark, tmp_path):
     docs = spark.readStream.schema("ordinal long, text string").parquet(f"{tmp_path}/in")
     index_stream(docs, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out/postings").count() == 3
+
+
+def test_sparse_encoding(spark):
+    values = [0.0, 1.0, -1.0, 2.0, 0.0, 3.0, 4.0, 1.0]
+    logits = spark.createDataFrame([(0, i // 4, i % 4, v) for i, v in enumerate(values)], "doc long, position int, token_id int, logit double")
+    got = {r["token_id"]: r["weight"] for r in selection.sparse_documents(logits, [3]).collect()}
+    assert got == pytest.approx({1: math.log1p(math.log1p(3)), 2: math.log1p(math.log1p(4))})
+    ids = spark.createDataFrame([([5, 2, 5, 3],), ([],)], "ids array<int>").select(selection.sparse_query_ids(F.col("ids"), [3])).collect()
+    assert [r[0] for r in ids] == [[2, 5], []]
+
+
+def test_proxy_samples(spark):
+    few = spark.range(10).selectExpr("id", "id % 2 AS g")
+    assert selection.proxy_samples(few, ["g"], "id").count() == 10
+    # Group 0 has 190 samples, group 1 has 10: they take turns until the smaller is used up.
+    many = spark.range(200).selectExpr("id", "if(id < 190, 0, 1) AS g")
+    got = selection.proxy_samples(many, ["g"], "id").collect()
+    assert len(got) == 50
+    assert sorted(r["id"] for r in got) == [*range(40), *range(190, 200)]
+
+
+def test_guardrails_and_stability(spark):
+    a = spark.createDataFrame([("x", 0.5, 0.80)], "name string, r double, n double")
+    b = spark.createDataFrame([("x", 0.6, 0.81)], "name string, r double, n double")
+    got = selection.guardrail_blockers(a, b, ["name"], ["r", "n"]).collect()
+    assert [(r["metric"], r["delta"]) for r in got] == [("r", -0.1)]
+    rows = spark.createDataFrame([("o", "a", -0.1), ("o", "a", 0.2), ("o", "b", 0.1)], "objective string, config string, drop double")
+    r = selection.stability(rows, ["objective"]).first()
+    assert (r["folds"], r["distinct_selections"], r["median_drop"], r["worst_drop"]) == (3, 2, 0.1, 0.2)
+    assert r["selection_frequency"] == pytest.approx(2 / 3)
+
+
+def test_candidates(spark):
+    norms = spark.createDataFrame([(1, "bm25", 0, 1.0), (1, "dense", 1, 1.0), (1, "bm25", 1, 0.1)], "query_id long, channel string, ordinal long, norm double")
+    rows = [(0, 0.0, 0.0, 1.0, 0.0, 0.0), (1, 0.0, 0.0, 0.0, 1.0, 0.0), (2, 0.0, 0.0, 0.0, 0.5, 0.0), (3, 1.0, 0.0, 0.0, 0.0, 0.0)]
+    candidates = spark.createDataFrame(rows, "candidate int, identity double, camelcase double, bm25 double, dense double, sparse double")
+    gold = spark.createDataFrame([(1, 0, 1)], "query_id long, target long, ordinal long")
+    found = selection.candidate_quality(selection.candidate_ranks(norms, candidates), candidates, gold, (1, 2))
+    assert {r["candidate"]: (r["recall_1"], r["recall_2"]) for r in found.collect()} == {0: (0.0, 1.0), 1: (1.0, 1.0), 2: (1.0, 1.0), 3: (0.0, 0.0)}
+    best = selection.best_of_subsets(candidates, found, ("recall_1",)).collect()
+    assert {r["active"]: r["candidate"] for r in best} == {"bm25": 0, "dense": 1, "identity": 3}
+
+
+def test_scouts():
+    assert selection.halton_points(3, 2).ravel().tolist() == pytest.approx([1 / 2, 1 / 3, 1 / 4, 2 / 3, 3 / 4, 1 / 9])
+    assert selection.random_points(1, 1)[0, 0] == 270369 / 2**32
+    assert selection.levels(selection.halton_points(3, 1), 4).ravel().tolist() == [2, 1, 3]
+
+
+def test_aliases(spark, tmp_path):
+    root = f"file://{tmp_path}/aliases"
+    assert aliases.listed(spark, root) == []
+    aliases.add(spark, root, "b", "find b", top=5, ignore_path=[])
+    aliases.add(spark, root, "a", "find a")
+    aliases.add(spark, root, "b", "find b again", top=7)
+    assert [(x["name"], x["text"]) for x in aliases.listed(spark, root)] == [("a", "find a"), ("b", "find b again")]
+    assert aliases.request(spark, root, "b", top=1, no_content=True) == {"text": "find b again", "top": 1, "no_content": True}
+    aliases.remove(spark, root, "b")
+    aliases.remove(spark, root, "a")
+    assert aliases.listed(spark, root) == []
+    with pytest.raises(KeyError):
+        aliases.request(spark, root, "b")
+    with pytest.raises(ValueError):
+        aliases.add(spark, root, "c", "x", other=1)
