@@ -267,3 +267,14 @@ def test_near_copy_classes_equal_brute_force(spark):
         assert all(len(x) == 1 for x in of.values())  # never joins what brute force keeps apart
         if whole:
             assert len(of) == len(set(root))
+
+
+def test_near_copies_of_large_blocks_are_all_found(spark):
+    """All texts share a passage (similarity 0.75), so blocks are larger than the bucket; near copies are the pairs whose endings begin alike (0.83)."""
+    passage = [f"p{k}" for k in range(146)]
+    ends = [[f"e{n}_{k}" for k in range(24)] for n in range(150)]
+    texts = [" ".join(passage + end) for end in ends] + [" ".join(passage + [*end[:9], *(f"x{n}_{k}" for k in range(15))]) for n, end in enumerate(ends)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["id"]: r["root"] for r in near_copies.classes(docs, bucket=4).collect()}
+    assert [n for n in range(150) if found[n] != found[n + 150]] == []
+    assert len(set(found.values())) == 150
