@@ -1,15 +1,14 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted-shingle similarity.
+"""Benchmark decontamination: item-sized windows, blocks by rare shingles, exact weighted-shingle similarity.
 
 DataFrame functions only. Words are runs of letters and digits of the lower-cased text; shingles are five words (all words
 of an item with fewer), hashed to 64 bits. A window of a document is as long as an item. Only windows that some shingle
-shared with an item aligns with that item are fingerprinted: any other window of that length has no shingle in common with it
-at its place. A window's SimHash bit is set if it is set in more than half of its shingles.
+shared with an item aligns with that item are compared: any other window of that length has no shingle in common with it
+at its place.
 
-Windows and items within ``RADIUS`` bits agree in at least one of RADIUS + 1 blocks of the fingerprint (pigeonhole), so a join
-on item length, block and block value finds all of them; Hamming distance is checked, and then the exact weighted similarity:
-the sum of the smaller shingle counts over the sum of the larger, at least ``SIMILARITY``. At that similarity fingerprints
-differ by about 10 bits, standard deviation 3, so the radius of 15 leaves out about 3 % of pairs at the very threshold and
-0.1 % at 0.85.
+Compared is the weighted similarity: the sum of the smaller shingle counts over the sum of the larger, at least
+``SIMILARITY``. A window that reaches it has at least that share of the item's shingles, so it holds one of any
+m - ceil(SIMILARITY * m) + 1 of the item's m (prefix filter). A join on item length and the item's so many shingles that are
+rarest among the items therefore finds all such windows; none is left out.
 
 Equal texts, equal windows and equal items are worked on once; so a passage that many documents share costs one
 window. Keys are broadcast only if their counted number is below ``BROADCAST_ROWS``, else they are joined by shuffle.
@@ -27,8 +26,6 @@ from lodestone.llm.common import materialise
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 15
-BITS = 64 // (RADIUS + 1)
 BROADCAST_ROWS = 1_000_000
 
 
@@ -48,26 +45,6 @@ def shingles(w: Column, width: int) -> Column:
     ).otherwise(F.array().cast("array<long>"))
 
 
-def simhash(hashes: Column) -> Column:
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)),
-        F.lit(0).cast("long"),
-        lambda acc, b: F.when(
-            F.size(F.filter(hashes, lambda h: F.getbit(h, b) == 1)) * 2 > F.size(hashes), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))
-        ).otherwise(acc),
-    )
-
-
-def blocks(fp: Column) -> Column:
-    """array<struct<no, value>> of the fingerprint's blocks."""
-    return F.array(
-        *[
-            F.struct(F.lit(k).alias("no"), F.shiftrightunsigned(fp, k * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).alias("value"))
-            for k in range(RADIUS + 1)
-        ]
-    )
-
-
 def similarity(a: Column, b: Column) -> Column:
     """Sum of the smaller counts of each shingle over the sum of the larger."""
     common = F.array_intersect(a, b)
@@ -91,6 +68,15 @@ def items(benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     return own.select("item", F.least(F.size("w"), F.lit(WIDTH)).alias("width"), every.alias("h"))
 
 
+def rarest(own: DataFrame) -> DataFrame:
+    """(width, m, item, x): of each item's m shingles the m - ceil(SIMILARITY * m) + 1 that the fewest items of its length have."""
+    each = own.select("width", F.size("h").alias("m"), "item", F.explode("h").alias("x"))
+    spread = each.groupBy("width", "m", "x").agg(F.count_distinct("item").alias("n"))
+    least = each.join(spread, ["width", "m", "x"]).groupBy("width", "m", "item").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("of"))
+    most = F.col("m") - F.ceil(F.col("m") * SIMILARITY - 1e-9).cast("int") + 1
+    return least.select("width", "m", "item", F.explode(F.array_distinct(F.slice(F.col("of.x"), F.lit(1), most))).alias("x"))
+
+
 def item_of(text: Column) -> Column:
     return F.md5(F.array_join(words(F.coalesce(text.cast("string"), F.lit(""))), " "))
 
@@ -144,18 +130,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     cut = cut.withColumn("s", F.least(F.col("s"), last)).select("k", "width", "m", "s", F.slice("h", F.col("s") + 1, F.col("m")).alias("h"))
     cut = materialise(cut.distinct().withColumn("content", F.xxhash64("width", "m", "h")), "windows")
     single = materialise(
-        cut.groupBy("width", "m", "content").agg(F.first("h").alias("h")).withColumn("fp", simhash(F.col("h"))), "fingerprints"
+        cut.groupBy("width", "m", "content").agg(F.first("h").alias("h")), "contents"
     )
-    left = single.select("width", "m", "content", "h", "fp", F.explode(blocks(F.col("fp"))).alias("b"))
-    right = own.select(
-        F.col("width").alias("iw"), F.size("h").alias("im"), "item", F.col("h").alias("ih"), simhash(F.col("h")).alias("ifp")
-    ).select("*", F.explode(blocks(F.col("ifp"))).alias("ib"))
-    keep = ["width", "m", "content", "item", "fp", "ifp"]
+    rare = materialise(rarest(own), "rare-shingles")
     close = (
-        left.drop("h")
-        .join(right.drop("ih"), (F.col("width") == F.col("iw")) & (F.col("m") == F.col("im")) & (F.col("b") == F.col("ib")))
-        .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
-        .select(*keep)
+        single.select("width", "m", "content", F.explode(F.array_distinct("h")).alias("x"))
+        .join(small(rare, rare.count()), ["width", "m", "x"])
+        .select("width", "m", "content", "item")
         .distinct()
     )
     verified = (

@@ -165,6 +165,16 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.pairs(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_window_at_the_threshold(spark):
+    """56 of 63 shingles in common, a similarity of exactly 0.8; and a repeated shingle counts as often as it occurs."""
+    listed = [[f"i{n}w{k}" for k in range(67)] for n in range(400)]
+    texts = ["before it " + " ".join([*w[:60], *(f"x{k}" for k in range(7))]) + " and after" for w in listed]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(listed)] + [(900, "again " * 24)], "item_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts), (900, "again " * 20), (901, "again " * 19)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.pairs(docs, bench).collect()}
+    assert got == {(n, n): pytest.approx(0.8) for n in range(400)} | {(900, 900): pytest.approx(0.8)}
+
+
 def test_secrets(spark, docs, none, tmp_path):
     path = f"file://{tmp_path}/ledger"
     got = {r["doc_id"]: r for r in secrets.digest(docs, path).collect()}
