@@ -16,7 +16,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, "4m"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (unit tests in local mode) a temporary folder is made and set.
+    Where the session names none, a local master (unit tests) gets a temporary folder; a cluster is refused, for its executors would not
+    share that folder.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-ck-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -39,6 +42,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes a materialised table that nothing reads any more."""
+    session = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = session._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(session._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
     """``df.mapInArrow`` in batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``, after which a worker gives its free memory back.
 
@@ -81,21 +92,19 @@ def min_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph as (node, root), root being the component's smallest node.
 
     ``edges`` has columns (u, v) of longs; nodes without an edge do not appear. Alternates large-star and
     small-star steps, each a partial-aggregated min and a join that adaptive execution can split, so no
-    component is gathered in one task. Each round is a written table; it ends when a round changes nothing.
+    component is gathered in one task. Each round is a written table, which replaces the one before; it ends when a round changes
+    nothing, after a number of rounds in the order of the square of the logarithm of the number of nodes.
     """
-    spark = edges.sparkSession
     current = materialise(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"
     )
     mark = _mark(current)
-    for _ in range(rounds):
-        if mark[0] == 0:
-            break
+    while mark[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
             both.join(min_neighbour(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -109,13 +118,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        current = materialise(small, "cc")
+        last, current = current, materialise(small, "cc")
+        discard(last)
         now = _mark(current)
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("connected components did not settle")
     roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

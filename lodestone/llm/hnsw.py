@@ -8,8 +8,9 @@ gives its nearest classes, whose ids are expanded and ranked by the exact Euclid
 original vectors, ties to the smaller id. Each shard's ``k`` nearest are merged.
 
 Vectors that are null, empty, zero or hold a null or non-finite component, and rows with a null id, take no part. Only vectors
-of equal dimension are compared. A row that repeats with the same id and vector counts once. Extra columns are ignored; empty
-tables give no rows.
+of equal dimension are compared. A row that repeats with the same id and vector counts once; an id with several vectors is found once,
+with the nearest of them, and as a query is asked with each. Large components are scaled, so squares stay finite. Extra columns are
+ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +29,21 @@ LINKS, BASE_LINKS, SLACK = 16, 32, 16
 EF_BUILD, EF_SEARCH = 80, 160
 
 
+def scale_of(vectors: np.ndarray) -> float:
+    """A power of two that keeps squares of the largest components finite."""
+    return float(2.0 ** np.floor(np.log2(np.abs(vectors).max()))) if len(vectors) else 1.0
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    return np.asarray(vectors, np.float64) / scale_of(vectors)
+
+
 class Graph:
     """Neighbour arrays by layer; rows are padded, ``degree`` says how far they are filled."""
 
     def __init__(self, vectors: np.ndarray, seed: int = 0):
-        self.vectors = vectors.astype(np.float32)
+        self.vectors = scaled(vectors)
+        self.scale = scale_of(vectors)
         self.norms = (self.vectors**2).sum(axis=1)
         n = len(vectors)
         self.levels = np.minimum(np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(LINKS)), 12).astype(np.int64)
@@ -92,7 +103,7 @@ class Graph:
         v = self.vectors[at]
         across = self.norms[at][:, None] + self.norms[at] - 2.0 * (v @ v.T)
         own = np.array([d for d, _ in found]) + norm
-        nearest = np.full(len(at), np.inf, np.float32)
+        nearest = np.full(len(at), np.inf)
         chosen: list[int] = []
         for k in range(len(at)):
             if own[k] < nearest[k]:
@@ -140,7 +151,7 @@ class Graph:
     def nearest(self, q: np.ndarray, ef: int) -> list[int]:
         if self.entry < 0:
             return []
-        q = q.astype(np.float32)
+        q = q / self.scale
         entries = [(float(self._distances(q, np.array([self.entry]))[0]), self.entry)]
         for layer in range(int(self.levels[self.entry]), 0, -1):
             entries = self.search_layer(q, entries[:1], 1, layer)
@@ -157,7 +168,8 @@ class Graph:
     @classmethod
     def from_flat(cls, vectors: np.ndarray, row: dict) -> Graph:
         g = cls.__new__(cls)
-        g.vectors = vectors.astype(np.float32)
+        g.vectors = scaled(vectors)
+        g.scale = scale_of(vectors)
         g.norms = (g.vectors**2).sum(axis=1)
         g.levels = np.frombuffer(row["levels"], np.int8).astype(np.int64)
         g.rows = [np.where(g.levels >= k, np.cumsum(g.levels >= k) - 1, -1) for k in range(len(row["links"]))]
@@ -170,6 +182,18 @@ class Graph:
         return g
 
 
+def euclidean(vectors: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Distances in double precision; differences whose squares would overflow or vanish are scaled first."""
+    off = vectors - v
+    with np.errstate(over="ignore"):
+        plain = np.sqrt((off**2).sum(axis=1))
+    odd = ~np.isfinite(plain) | (plain < 1e-140)
+    if odd.any():
+        most = np.abs(off[odd]).max(axis=1)
+        plain[odd] = np.where(most > 0, most * np.sqrt(((off[odd] / np.where(most > 0, most, 1.0)[:, None]) ** 2).sum(axis=1)), 0.0)
+    return plain
+
+
 INDEX = (
     "dim int, shard int, vectors binary, ids binary, id_ends binary, levels binary, links array<binary>, degrees array<binary>, entry int"
 )
@@ -244,15 +268,20 @@ def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
             for q, own, v in zip(*(asked[c].to_pylist() for c in ("q", "id", "v")), strict=True):
                 v = np.array(v)
                 near = np.array(graph.nearest(v, max(EF_SEARCH, 2 * k)))
-                exact = np.sqrt(((vectors[near] - v) ** 2).sum(axis=1))
-                found = [(d, i) for d, c in zip(exact.tolist(), near.tolist(), strict=True) for i in ids[starts[c] : ends[c]].tolist() if i != own]
-                out += [(q, own, i, d) for d, i in heapq.nsmallest(k, found)]
+                exact = euclidean(vectors[near], v)
+                best: dict[int, float] = {}
+                for d, c in zip(exact.tolist(), near.tolist(), strict=True):
+                    for i in ids[starts[c] : ends[c]].tolist():
+                        if i != own and d < best.get(i, np.inf):
+                            best[i] = d
+                out += [(q, own, i, d) for d, i in heapq.nsmallest(k, ((d, i) for i, d in best.items()))]
         cols = list(zip(*out, strict=True)) or [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["q", "query_id", "vec_id", "score"])
 
     left, right = left.groupBy("dim", "place", "block"), right.groupBy("dim", "shard", "block")
     found = left.cogroup(right).applyInArrow(run, "q long, query_id long, vec_id long, score double")
+    found = found.groupBy("q", "query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("q").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -3,12 +3,15 @@
 Every code point is lower-cased one to one, every non-letter becomes a gap and runs of gaps count once; n-grams of one
 to three such characters are hashed into ``buckets``. Training counts come from all labelled rows given to ``fit``;
 each partition adds up its own counts, so what is shuffled has a bounded size for each partition. The log-probability
-matrix (languages x buckets doubles) is checked against ``MATRIX_BYTES`` and broadcast; scoring gathers its rows for
-the n-grams of a text and adds them up in numpy.
+matrix (languages x buckets doubles) is broadcast; it stays below ``MATRIX_BYTES``, for which tables of more than 1,024 languages
+halve ``buckets`` as often as needed (a bucket's counts are those of its two halves). Scoring is a sparse product: the n-grams of
+a batch of texts are cut into blocks of ``BLOCK``, whose rows of the matrix are gathered and added up by text in numpy, so that a very
+long text costs no more memory than a short one beyond its own n-grams.
 
-Prediction uses the text alone. A text that is null, empty or without a letter gets ``und`` with score 0, and so does
+A text's language is predicted from the text alone. A text that is null, empty or without a letter gets ``und`` with score 0, and so does
 every text if nothing was learned. The score is the posterior probability of the language; equal ones go to the first
-by name. Rows with a null label or text teach nothing. Repeated rows, null ids and extra columns are allowed.
+by name. Rows with a null label or text teach nothing. Repeated rows, null ids and extra columns are allowed; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_of_id, map_arrow
+from lodestone.llm.common import crc_of_id, map_arrow, materialise
 
 UNKNOWN = "und"
 MATRIX_BYTES = 256 << 20
 BUCKETS = 1 << 15
+BLOCK = 1 << 17
 _FOLD: np.ndarray | None = None
 
 
@@ -63,15 +67,35 @@ class Model:
     log_prob: np.ndarray  # buckets x languages
     prior: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs:
-            return UNKNOWN, 0.0
-        grams = ngram_buckets(text, self.log_prob.shape[0])
-        if not len(grams):
-            return UNKNOWN, 0.0
-        scores = self.prior + self.log_prob[grams].sum(axis=0)
-        best = int(np.argmax(scores))
-        return self.langs[best], float(1.0 / np.exp(scores - scores[best]).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, posterior) of each text of a batch."""
+        said, grams, of, waiting = [(UNKNOWN, 0.0)] * len(texts), [], [], 0
+        total = np.zeros((len(texts), len(self.langs)))
+        for k, text in enumerate(texts):
+            own = ngram_buckets(text, len(self.log_prob)) if text and self.langs else ()
+            if len(own):
+                grams.append(own)
+                of.append(k)
+                waiting += len(own)
+                if waiting >= BLOCK:
+                    self._add(total, grams, of)
+                    waiting, grams, of = 0, [], []
+                said[k] = None
+        if grams:
+            self._add(total, grams, of)
+        total += self.prior
+        for k in (k for k, x in enumerate(said) if x is None):
+            best = int(np.argmax(total[k]))
+            said[k] = self.langs[best], float(1.0 / np.exp(total[k] - total[k, best]).sum())
+        return said
+
+    def _add(self, total: np.ndarray, grams: list[np.ndarray], of: list[int]) -> None:
+        """Adds each text's rows of the matrix to its line of ``total``, block by block."""
+        joined, owner = np.concatenate(grams), np.repeat(of, [len(g) for g in grams])
+        for a in range(0, len(joined), BLOCK):
+            at = owner[a : a + BLOCK]
+            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            total[at[starts]] += np.add.reduceat(self.log_prob[joined[a : a + BLOCK]], starts, axis=0)
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", buckets: int = BUCKETS, alpha: float = 0.05) -> Model:
@@ -96,10 +120,13 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", bucket
         "t is not null and l is not null"
     )
     sums = map_arrow(rows, run, "lang string, b int, n long").groupBy("lang", "b").agg(F.sum("n").alias("n"))
+    sums = materialise(sums, "language-counts")  # read twice
     langs = [r[0] for r in sums.filter(F.col("b") == buckets).select("lang").orderBy("lang").collect()]
-    if len(langs) * buckets * 8 > MATRIX_BYTES:
-        raise ValueError(f"{len(langs)} languages x {buckets} buckets exceed the size that may be broadcast")
-    got = sums.toPandas()
+    full, fold = buckets, 1
+    while len(langs) * buckets * 8 > MATRIX_BYTES and buckets > 1:
+        buckets, fold = buckets // 2, fold * 2
+    held = F.when(F.col("b") == full, buckets).otherwise(F.col("b") % buckets)
+    got = (sums if fold == 1 else sums.groupBy("lang", held.alias("b")).agg(F.sum("n").alias("n"))).toPandas()
     counts = np.zeros((buckets + 1, len(langs)))
     place = {x: k for k, x in enumerate(langs)}
     known = got[got["lang"].isin(place)]
@@ -116,7 +143,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [shared.value.predict(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            said = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())],
                 names=[*[f.name for f in batch.schema][:-1], "lang_pred", "score"],
@@ -146,7 +173,7 @@ def stage(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [shared.value.predict(x.as_py()) for x in batch.column(at)]
+            said = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in said], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

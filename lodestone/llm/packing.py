@@ -16,6 +16,7 @@ columns ignored, an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -98,19 +99,29 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 
 def _join_open(members: list[list[int]], waiting: list[list[int]], capacity: int) -> None:
-    """Moves whole contents of open bins, fullest first, into the smallest gap that takes them."""
-    rest = sorted(((gap, b) for gap, held in enumerate(waiting) for b in held))
-    kept: list[tuple[int, int]] = []
+    """Moves whole contents of open bins, fullest first, into the smallest gap that takes them (ties: the first bin)."""
+    rest = sorted((gap, b) for gap, held in enumerate(waiting) for b in held)
+    at_gap: dict[int, list[int]] = {}
+    gaps: list[int] = []  # those with bins, ascending; at most ``capacity`` of them
+
+    def keep(gap: int, b: int) -> None:
+        if gap not in at_gap:
+            at_gap[gap] = []
+            insort(gaps, gap)
+        heapq.heappush(at_gap[gap], b)
+
     for gap, b in rest:
-        fill = capacity - gap
-        best = min((x for x in kept if x[0] >= fill), default=None) if kept and max(kept)[0] >= fill else None
-        if best is None:
-            heapq.heappush(kept, (gap, b))
-        else:
-            kept.remove(best)
-            members[best[1]] += members[b]
-            members[b] = []
-            kept.append((best[0] - fill, best[1]))
+        place = bisect_left(gaps, capacity - gap)
+        if place == len(gaps):
+            keep(gap, b)
+            continue
+        found = gaps[place]
+        into = heapq.heappop(at_gap[found])
+        if not at_gap[found]:
+            del at_gap[found], gaps[place]
+        members[into] += members[b]
+        members[b] = []
+        keep(found - (capacity - gap), into)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, shard: int = 50_000) -> DataFrame:

@@ -8,6 +8,8 @@ rows, blobs travel compressed, and after one shuffle by address each is scanned
 Kinds in order: assign, access, hex (the base: matched leftmost and non-overlapping by themselves, failing matches
 dropped), then pem, github, slack, jwt, google. Offsets are code points, end exclusive.
 
+Two scans at one time may both append a blob; its spans are the same and count once. Very long texts are scanned whole.
+
 Null texts count as empty: no spans. Repeated rows and null ids come back as they are; extra columns are ignored; an
 empty table gives an empty result.
 """
@@ -117,6 +119,7 @@ def update(docs: DataFrame, path: str, text_col: str = "text") -> None:
 def findings(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, blob, spans): every row of ``docs`` with its blob's spans, an empty list if it has none."""
     known = ledger(docs.sparkSession, path).filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0))
+    known = known.groupBy("blob").agg(F.first("spans").alias("spans"))  # concurrent or repeated scans may append a blob twice
     paths = docs.select(id_col, F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).alias("blob"))
     return paths.join(known.select("blob", "spans"), "blob", "left").select(
         id_col, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")

@@ -5,15 +5,17 @@ between documents), then a skippable frame (magic 0x184D2A50) with the document
 0x184D2A5E) with the seek table of the Zstandard seekable format: for each frame its compressed size, its
 decompressed size and the low 32 bits of its content's XXH64, then the number of frames, a descriptor with the checksum
 flag, and the magic 0x8F92EAB1. All integers are little-endian. Ids take 2 bytes if the vocabulary has at most 65,536
-entries, else 4. The document index is itself Zstandard-compressed: the width, the number of documents, then columns of
-ids (8 bytes), a null flag (1), frame numbers (4) and lengths (8). A document's place in its frame follows from the
-lengths before it.
-
-Rows are range-partitioned and sorted by doc_id (ties by a hash of the text); each task encodes its rows and closes a
-file after ``file_tokens`` ids, so memory is bounded. Files are written by Spark's own writer, whose commit protocol
-keeps exactly one copy of each when executors are lost, into any file system that Spark reaches: the archive travels
-as a binary value, and the writer's record separator is the last magic of the format. The names' order is the order
-of documents.
+entries, else 4. The document index is itself Zstandard-compressed: the width (1 byte), the file's part and its number in the part
+(8 each), the number of documents (8), then columns of ids (8 bytes), a null flag (1), frame numbers (4) and lengths (8). A
+document's place in its frame follows from the lengths before it.
+
+Rows are range-partitioned and sorted by doc_id, equal ids by their place in the input, so that many rows of one id (or null ids)
+are spread over tasks too. Each task encodes its rows and closes a file after ``file_tokens`` ids, so memory is bounded. Files
+are written by Spark's own writer, whose commit protocol keeps exactly one copy of each when executors are lost, into
+any file system that Spark reaches: the archive travels as a binary value, which a cast to string leaves byte by byte and the text
+writer copies as it is, and the writer's record separator is the last magic of the format. The order of documents is that of
+(part, number in the part), which every file states itself; starts are summed within parts by a window, and the driver sees one row
+for each part (as many as range partitions).
 
 Null texts count as empty (the end id alone). Null ids come first. Repeated rows are all written; extra columns are
 ignored; an empty table gives no rows.
@@ -21,22 +23,23 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from lodestone.llm.common import map_arrow, scratch_path
-from lodestone.llm.tokens import encoder
+from lodestone.llm.common import map_arrow, materialise, scratch_path
+from lodestone.llm.tokens import encoder, vocabulary
 
 INDEX_MAGIC, TABLE_MAGIC, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, b"\xb1\xea\x92\x8f"
 CHECKSUM_FLAG = 0x80
@@ -45,8 +48,9 @@ CHECKSUM_FLAG = 0x80
 class ArchiveWriter:
     """Collects documents into one archive; ``close`` gives its bytes."""
 
-    def __init__(self, width: int, frame_tokens: int):
+    def __init__(self, width: int, frame_tokens: int, part: int = 0, number: int = 0):
         self.width, self.frame_bytes = width, frame_tokens * width
+        self.part, self.number = part, number
         self.compressor = zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True)
         self.frames: list[bytes] = []
         self.table: list[bytes] = []
@@ -57,15 +61,19 @@ class ArchiveWriter:
         self.lengths: list[int] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        raw = ids.astype(f"<u{self.width}").tobytes()
+        self.add_raw(doc_id, ids.astype(f"<u{self.width}").tobytes())
+
+    def add_raw(self, doc_id: int | None, raw: bytes) -> None:
+        """``raw``: the ids in the file's width."""
+        n = len(raw) // self.width
         if self.pending and self.size + len(raw) > self.frame_bytes:
             self._flush()
         self.ids.append(doc_id)
         self.frame_of.append(len(self.frames))
-        self.lengths.append(len(ids))
+        self.lengths.append(n)
         self.pending.append(raw)
         self.size += len(raw)
-        self.tokens += len(ids)
+        self.tokens += n
 
     def _flush(self) -> None:
         raw = b"".join(self.pending)
@@ -78,7 +86,7 @@ class ArchiveWriter:
         if self.pending:
             self._flush()
         index = self.compressor.compress(
-            struct.pack("<BQ", self.width, len(self.ids))
+            struct.pack("<BQQQ", self.width, self.part, self.number, len(self.ids))
             + np.array([x or 0 for x in self.ids], "<i8").tobytes()
             + np.array([x is None for x in self.ids], np.uint8).tobytes()
             + np.array(self.frame_of, "<u4").tobytes()
@@ -121,8 +129,8 @@ class Archive:
             raise ValueError("damaged document index")
         self.decompressor = zstandard.ZstdDecompressor()
         index = self.decompressor.decompress(data[start + 8 : start + 8 + size])
-        self.width, n = struct.unpack("<BQ", index[:9])
-        at = 9
+        self.width, self.part, self.number, n = struct.unpack("<BQQQ", index[:25])
+        at = 25
         columns = []
         for kind in ("<i8", "u1", "<u4", "<u8"):
             end = at + n * np.dtype(kind).itemsize
@@ -159,23 +167,25 @@ def write(
     """Writes the ids of all documents, in ascending doc_id order, as archives under ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer, False)
-        width = 2 if len(code.ids) <= 1 << 16 and end_id < 1 << 16 else 4
-        end = end_id.to_bytes(4, "little")
-        out = ArchiveWriter(width, frame_tokens)
+        width = 2 if max(vocabulary(tokenizer), end_id + 1) <= 1 << 16 else 4
+        code, part = encoder(tokenizer, False, width), TaskContext.get().partitionId()
+        end = end_id.to_bytes(width, "little")
+        out = ArchiveWriter(width, frame_tokens, part)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out.add(doc_id, np.frombuffer(code.encode(text.as_py() or "") + end, "<u4"))
+                out.add_raw(doc_id, code.encode(text.as_py() or "") + end)
                 if out.tokens >= file_tokens:
                     yield _row(out.close())
-                    out = ArchiveWriter(width, frame_tokens)
+                    out = ArchiveWriter(width, frame_tokens, part, out.number + 1)
         if out.ids:
             yield _row(out.close())
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("place")
+    )
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(parts, "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     # The separator after each record is the magic that every archive ends with.
     (
         map_arrow(ordered, run, "value binary")
@@ -191,36 +201,26 @@ def _row(archive: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([archive[: -len(SEEK_MAGIC)]], pa.binary())], names=["value"])
 
 
-FOUND = T.StructType(
-    [
-        T.StructField("file", T.StringType()),
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("at", T.LongType()),
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("ids_crc32", T.LongType()),
-    ]
-)
+FOUND = "part long, number long, doc_id long, at long, n_tokens long, ids_crc32 long"
+FOUND_NAMES = ["part", "number", "doc_id", "at", "n_tokens", "ids_crc32"]
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return raw.select(F.col("path").alias("file"), "content").filter(F.length("content") > 0)
+    return raw.select("content").filter(F.length("content") > 0)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(file, doc_id, at, n_tokens, ids_crc32) of all documents: every frame is decompressed and verified."""
+    """(part, number, doc_id, at, n_tokens, ids_crc32) of all documents: every frame is decompressed and verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [
-                    (doc_id, at, len(ids), crc32(ids.astype("<u4").tobytes()))
-                    for doc_id, at, ids in Archive(content.as_py()).documents()
-                ]
+            for content in batch.column(0):
+                archive = Archive(content.as_py())
+                rows = [(doc_id, at, len(ids), crc32(ids.astype("<u4").tobytes())) for doc_id, at, ids in archive.documents()]
+                same = [pa.array(np.full(len(rows), x, np.int64)) for x in (archive.part, archive.number)]
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file] * len(rows)), *[pa.array(c, pa.int64()) for c in cols]], names=FOUND.names
-                )
+                yield pa.RecordBatch.from_arrays([*same, *[pa.array(c, pa.int64()) for c in cols]], names=FOUND_NAMES)
 
     return map_arrow(_files(spark, path), run, FOUND)
 
@@ -231,7 +231,7 @@ def read_documents(spark: SparkSession, path: str, wanted: list[int]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(1):
+            for content in batch.column(0):
                 got = [(d, ids.astype(np.int64)) for d, _, ids in Archive(content.as_py()).documents(ask)]
                 if got:
                     yield pa.RecordBatch.from_arrays(
@@ -247,13 +247,12 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | Non
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-files")
     write(docs, tokenizer, path, end_id)
-    found = read(spark, path)
-    # One row for each file: their order is part number, then number in the part.
-    sums = found.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()
-    order = sorted(sums, key=lambda r: tuple(int(x) for x in re.search(r"/part-(\d+)-.*-c(\d+)", r["file"]).groups()))
-    total, bases = 0, []
-    for r in order:
-        bases.append((r["file"], total))
-        total += r["n"]
-    base = spark.createDataFrame(bases, "file string, base long")
-    return found.join(base, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    found = materialise(read(spark, path), "token-places")
+    files = found.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
+    parts = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    before = list(accumulate((n for _, n in parts), initial=0))
+    bases = spark.createDataFrame([(p, b) for (p, _), b in zip(parts, before, strict=False)], "part long, base long")
+    order = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = files.withColumn("before", F.sum("n").over(order) - F.col("n")).join(bases, "part")
+    starts = starts.select("part", "number", (F.col("base") + F.col("before")).alias("base"))
+    return found.join(starts, ["part", "number"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

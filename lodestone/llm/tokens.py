@@ -1,17 +1,22 @@
 """Exact, fast encoding with a public BPE tokenizer: chunks of a text that cannot influence each other are cached.
 
 ``WordEncoder`` cuts a text where the tokenizer's own pre-tokenizer always cuts, encodes each distinct chunk once with
-the tokenizers library and joins the little-endian 32-bit ids. The cache is emptied when it holds ``LIMIT`` chunks, so
-a worker's memory is bounded whatever the corpus holds.
+the tokenizers library and joins the little-endian ids. The ids are those of ``Tokenizer.encode(text,
+add_special_tokens=False)``; a text that holds an added token's string is given to the library whole. The cache has two
+generations of at most about ``LIMIT`` chunks of at most ``LONGEST`` characters: chunks in use move to the younger, the
+older is dropped when that is full. So a worker's memory is bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
+from string import punctuation
 
-LIMIT = 400_000
+LIMIT = 500_000
+LONGEST = 64
 #: Unicode white space; unlike ``str.split``, without the separators U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The visible character that byte-level models use for each byte: itself, or for others U+0100 onwards in their order.
@@ -34,66 +39,85 @@ def keep_space(text: str) -> list[str]:
     return _RUNS.findall(text)
 
 
+class _Cache(dict):
+    """Ids by chunk; what is missing comes from the older generation or is learned."""
+
+    def __init__(self, learn: Callable[[str], bytes], older: dict[str, bytes]):
+        super().__init__()
+        self.learn, self.older = learn, older
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.learn(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = found
+        return found
+
+
 class WordEncoder:
-    def __init__(self, path: str, lowers: bool):
+    """Encodes whole texts; ids are ``width`` bytes each, little-endian."""
+
+    def __init__(self, path: str, lowers: bool, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.lowers = lowers
+        self.tokenize = self.tokenizer.model.tokenize
+        self.lowers, self.width = lowers, width
         self.chunks = drop_space if lowers else keep_space
-        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.cache: dict[str, bytes] = {}
+        self.ids = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache = _Cache(self._learn, {})
 
     def encode(self, text: str) -> bytes:
-        """Ids of the whole text as little-endian unsigned 32-bit integers."""
-        chunks = self.chunks(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, chunks))
-        except KeyError:
-            if len(self.cache) > LIMIT:
-                self.cache.clear()
-            self._learn([x for x in set(chunks) if x not in self.cache])
-            return b"".join(map(self.cache.__getitem__, chunks))
-
-    def _learn(self, missing: list[str]) -> None:
-        """Encodes chunks that aren't cached.
-
-        A full stop or comma after a letter is a token of its own. Chunks of Latin letters are left whole by
+        """Ids of the whole text."""
+        if any(x in text for x in self.added):
+            return self._plain(text)
+        if len(self.cache) > LIMIT:
+            young, self.cache.older = self.cache, {}
+            self.cache = _Cache(self._learn, young)
+        return b"".join(map(self.cache.__getitem__, self.chunks(text)))
+
+    def _plain(self, text: str) -> bytes:
+        ids = self.ids
+        return b"".join([ids[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def _learn(self, chunk: str) -> bytes:
+        """Ids of a chunk that isn't cached.
+
+        A run of ASCII punctuation after a Latin letter is always cut off. Chunks of Latin letters are left whole by
         normalisation and cutting, so the model gets them directly; all others go through the whole tokenizer.
         """
-        cache, ids, lowers, tokenize = self.cache, self.ids, self.lowers, self.tokenizer.model.tokenize
-        later, rest = [], set()
-        for x in missing:
-            stem, tail = (x[:-1], x[-1]) if x[-1] in ".," and x[-2:-1].isalpha() else (x, "")
-            if lowers and stem.isascii():
-                stem = stem.lower()
-            found = cache.get(stem)
-            if found is None:
-                word = stem[1:] if stem[0] == " " else stem
-                if word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
-                    if not word.isascii():
-                        word = (word.lower() if lowers else word).encode().decode("latin-1").translate(BYTE_CHARS)
-                    if stem[0] == " ":
-                        word = SPACE_CHAR + word
-                    found = cache[stem] = b"".join([ids[t.id] for t in tokenize(word)])
-                else:
-                    rest.add(stem)
-            if found is not None and not tail:
-                cache[x] = found
-            else:
-                later.append((x, stem, tail))
-                if tail and tail not in cache:
-                    rest.add(tail)
-        fresh = list(rest)
-        for x, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            cache[x] = b"".join([ids[i] for i in found.ids])
-        for x, stem, tail in later:
-            cache[x] = cache[stem] + cache[tail] if tail else cache[stem]
+        lowers, ids = self.lowers, self.ids
+        stem = chunk.rstrip(punctuation)
+        if len(stem) < len(chunk) and stem[-1:] < "\u0250" and stem[-1:].isalpha():
+            return self.cache[stem] + self.cache[chunk[len(stem) :]]
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if not word.isalpha():
+            return self._plain(chunk)
+        if word.isascii():
+            low = word.lower() if lowers else word
+            if low != word:
+                return self.cache[low]
+        elif max(word) < "\u0250" and "\u0130" not in word:
+            word = (word.lower() if lowers else word).encode().decode("latin-1").translate(BYTE_CHARS)
+        else:
+            return self._plain(chunk)
+        if chunk[0] == " ":
+            word = SPACE_CHAR + word
+        return b"".join([ids[t.id] for t in self.tokenize(word)])
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, lowers: bool) -> WordEncoder:
+def encoder(path: str, lowers: bool, width: int = 4) -> WordEncoder:
     """One encoder for each tokenizer file in a worker process."""
-    return WordEncoder(path, lowers)
+    return WordEncoder(path, lowers, width)
+
+
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> int:
+    """Number of ids of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
