@@ -9,18 +9,20 @@ what the discount frees in a class goes to the one event "word never seen in tra
 known tokens and of that event add up to one. Transitions are class bigram counts with a Dirichlet prior of strength
 ``BETA`` towards the class frequencies.
 
-Classes: the ``HEAD`` most frequent words (a fixed model size, which bounds the table that the driver holds to its square)
+Classes: the ``head`` most frequent words (a parameter, the size of the model: the driver holds a table of its square)
 are clustered by exchange: each word in turn moves to the class that raises the likelihood of all their bigrams in
-the corpus most, until a sweep moves none. All other words are placed by the same criterion, one exchange step
+the corpus most, until a sweep moves none (every move raises it, so this ends). All other words are placed by the same criterion, one exchange step
 from the counts of their neighbours' classes, in a distributed pass; a word without such a neighbour goes to a class of its
 kind. Counts cover every training text and every word.
 
 How it runs: each task rewrites its texts as chunks of local word numbers, a written table. Words of a chunk (with the
 chunk's count and neighbour classes) are sorted by word, totalled and classed as a stream, and sent back to their chunk;
-so no dictionary of the corpus is held anywhere, and a frequent word costs one row for each chunk. Transitions come from the
+so no dictionary of the corpus is held anywhere. A frequent word costs one row for each chunk, of which its task holds the chunk's number and
+the place there (12 bytes) and adds the rest up as it passes. Transitions come from the
 class sequences, a table of at most 66 x 66 cells.
 
-Null and empty texts are an end token alone. Null ids count as id text "". Repeated rows are scored as often as they
+Null and empty texts are an end token alone. Very long texts make chunks of their own size. Ties: equally frequent words count in the order of
+their bytes, equal gains keep a word's class or go to the first class. Null ids count as id text "". Repeated rows are scored as often as they
 stand; extra columns are ignored; without training rows every token is unseen and all scores are zero.
 """
 
@@ -38,11 +40,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_of_id, map_arrow, materialise
+from lodestone.llm.common import crc_of_id, discard, map_arrow, materialise
 
 HEAD = 2048
 CLASSES = 62
-SWEEPS = 12
 BETA = 20.0
 CHUNK_TOKENS = 2_000_000
 CHUNK_WORDS = 400_000
@@ -136,8 +137,8 @@ def _training_tokens(row: dict) -> np.ndarray:
     return np.concatenate(([0], seq[np.repeat(np.frombuffer(row["train"], bool), lengths)]))
 
 
-def most_frequent(chunks: DataFrame) -> list[tuple[bytes, int]]:
-    """The end token, then the ``HEAD`` most frequent words, with their counts in all training texts."""
+def most_frequent(chunks: DataFrame, head: int = HEAD) -> list[tuple[bytes, int]]:
+    """The end token, then the ``head`` most frequent words, with their counts in all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -147,7 +148,7 @@ def most_frequent(chunks: DataFrame) -> list[tuple[bytes, int]]:
             yield pa.RecordBatch.from_arrays([words, pa.array(counts[kept])], names=["word", "n"])
 
     sums = map_arrow(chunks.select("words", "counts"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.length("word") > 0, F.desc("n"), "word").limit(HEAD + 1).collect()
+    top = sums.orderBy(F.length("word") > 0, F.desc("n"), "word").limit(head + 1).collect()
     return [(bytes(r[0]), r[1]) for r in top]
 
 
@@ -185,7 +186,9 @@ def exchange(bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     one_hot[np.arange(size), cls] = 1
     left, right = bigrams.T @ one_hot, bigrams @ one_hot  # by word: counts of the class before, after
     pair = one_hot.T @ bigrams @ one_hot
-    for _ in range(SWEEPS):
+    least = 1e-6 + 1e-12 * bigrams.sum()  # above what rounding may feign
+    moved = 1
+    while moved:
         moved = 0
         for w in range(1, size - 1):
             own, before, after = bigrams[w, w], left[w].copy(), right[w].copy()
@@ -195,7 +198,7 @@ def exchange(bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             pair[:, old] -= before
             pair[old] -= after
             pair[old, old] -= own
-            rows, cols = pair.sum(axis=1), pair.sum(axis=0)
+            rows, cols = pair.sum(axis=1) + before, pair.sum(axis=0) + after  # the word's neighbours have it beside them in any class
             n_after, n_before = after.sum() + own, before.sum() + own
             body = slice(1, LAST)
             gain = (_xlogx(pair[body] + after) - _xlogx(pair[body])).sum(axis=1)
@@ -205,7 +208,7 @@ def exchange(bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             gain += _xlogx(cell + after[d] + before[d] + own) - _xlogx(cell + after[d]) - _xlogx(cell + before[d]) + _xlogx(cell)
             gain -= _xlogx(rows[body] + n_after) - _xlogx(rows[body]) + _xlogx(cols[body] + n_before) - _xlogx(cols[body])
             new = 1 + int(np.argmax(gain))
-            if gain[new - 1] <= gain[old - 1] + 1e-6:
+            if gain[new - 1] <= gain[old - 1] + least:
                 new = old
             pair[:, new] += before
             pair[new] += after
@@ -217,8 +220,6 @@ def exchange(bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 left[:, new] += bigrams[w]
                 right[:, old] -= bigrams[:, w]
                 right[:, new] += bigrams[:, w]
-        if not moved:
-            break
     return cls, pair
 
 
@@ -265,6 +266,37 @@ def tail_words(chunks: DataFrame, head: dict[bytes, int]) -> DataFrame:
     return map_arrow(chunks, run, "word binary, chunk long, at int, n long, near binary")
 
 
+class _Running:
+    """A word whose rows are added up as they pass; of each only its place is held."""
+
+    def __init__(self, word: pa.Scalar) -> None:
+        self.word, self.total, self.seen = word, 0, np.zeros(2 * SIDE, np.int64)
+        self.chunks: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+
+    def take_from(self, t: pa.Table) -> pa.Table:
+        """Takes the word's rows at the front of ``t``; gives the others."""
+        other = pa.compute.not_equal(t["word"], self.word).to_numpy(zero_copy_only=False)
+        n = int(np.argmax(other)) if other.any() else t.num_rows
+        own = t.slice(0, n)
+        self.total += int(own["n"].to_numpy().sum())
+        for near in own["near"]:
+            self.seen += np.bincount(np.frombuffer(near.as_buffer() or b"", np.uint8), minlength=2 * SIDE)
+        self.chunks.append(own["chunk"].to_numpy())
+        self.places.append(own["at"].to_numpy())
+        return t.slice(n)
+
+    def row(self, told: np.ndarray) -> pa.RecordBatch:
+        chunks = np.concatenate(self.chunks)
+        n = len(chunks)
+        best = UNSEEN if not self.total else 1 + int(np.argmax(self.seen @ told)) if self.seen.any() else LAST
+        return pa.RecordBatch.from_arrays(
+            [pa.array(chunks), pa.array(np.concatenate(self.places)), pa.array(np.full(n, self.total)),
+             pa.array(np.full(n, best, np.int16)), pa.array(np.arange(n) == 0)],
+            names=["chunk", "at", "total", "cls", "first"],
+        )
+
+
 def totalled(tail: DataFrame, told: np.ndarray) -> DataFrame:
     """(chunk, at, total, cls, first): rows of a word stand together; it is totalled and classed as they pass."""
 
@@ -297,23 +329,32 @@ def totalled(tail: DataFrame, told: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, last = 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             rows += batch.num_rows
             if rows >= 200_000:
-                t = pa.Table.from_batches(held)
-                last = t["word"][rows - 1]
-                same = pa.compute.equal(t["word"], last).to_numpy(zero_copy_only=False) if t["word"][0] != last else None
-                if same is not None:  # the last word may go on
-                    cut = int(np.argmax(same))
+                t = pa.Table.from_batches(held).combine_chunks()
+                held, rows = [], 0
+                if last is not None:
+                    t = last.take_from(t)
+                    if not t.num_rows:
+                        continue
+                    yield last.row(told)
+                word = t["word"][t.num_rows - 1]  # may go on
+                cut = int(np.argmax(pa.compute.equal(t["word"], word).to_numpy(zero_copy_only=False)))
+                if cut:
                     yield done(t.slice(0, cut))
-                    rest = t.slice(cut).combine_chunks()
-                    held, rows = rest.to_batches(), rest.num_rows
-        if held:
-            yield done(pa.Table.from_batches(held))
+                last = _Running(word)
+                last.take_from(t.slice(cut))
+        t = pa.Table.from_batches(held).combine_chunks() if held else None
+        if last is not None:
+            t = last.take_from(t) if t is not None else None
+            yield last.row(told)
+        if t is not None and t.num_rows:
+            yield done(t)
 
     ordered = tail.repartition("word").sortWithinPartitions("word")
     return map_arrow(ordered, run, "chunk long, at int, total long, cls short, first boolean")
@@ -405,16 +446,16 @@ def log_transitions(counts: np.ndarray, mass: np.ndarray, kinds: np.ndarray, dis
         return np.log10(full)
 
 
-def score(docs: DataFrame, train: Column) -> DataFrame:
+def score(docs: DataFrame, train: Column, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_unseen."""
     chunks = materialise(encode(docs, train), "lm-chunks")
-    top = most_frequent(chunks)
+    top = most_frequent(chunks, head)
     if not top:
         return _untrained(docs, train)
     names = [w for w, _ in top]
     cls, pair = exchange(head_bigrams(chunks, names))
-    head = {w: int(c) for w, c in zip(names, cls, strict=False)}
-    placed = materialise(totalled(tail_words(chunks, head), evidence(pair)), "lm-words")
+    of_head = {w: int(c) for w, c in zip(names, cls, strict=False)}
+    placed = materialise(totalled(tail_words(chunks, of_head), evidence(pair)), "lm-words")
     mass, kinds, once, twice = (np.zeros(KINDS) for _ in range(4))
     for (w, n), c in zip(top, cls, strict=False):
         mass[c] += n
@@ -435,8 +476,10 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     n1, n2 = once.sum(), twice.sum()
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     tokens, types = int(mass.sum()), int(kinds.sum())
-    known = {w: (n, head[w]) for w, n in top}
+    known = {w: (n, of_head[w]) for w, n in top}
     texts = materialise(attach(chunks, placed, known, mass, discount), "lm-texts")
+    discard(chunks)
+    discard(placed)
     shared = docs.sparkSession.sparkContext.broadcast(log_transitions(transitions(texts), mass, kinds, discount))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -186,7 +186,7 @@ def euclidean(vectors: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Distances in double precision; differences whose squares would overflow or vanish are scaled first."""
     off = vectors - v
     with np.errstate(over="ignore"):
-        plain = np.sqrt((off**2).sum(axis=1))
+        plain = np.sqrt(np.cumsum(off**2, axis=1)[:, -1])  # added up in the order of components
     odd = ~np.isfinite(plain) | (plain < 1e-140)
     if odd.any():
         most = np.abs(off[odd]).max(axis=1)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import class_lm, decontaminate, hnsw, html_text, langid, packing, pii, secrets, simhash_dedup, token_files
+from lodestone.llm import class_lm, decontaminate, hnsw, html_text, langid, packing, pii, secrets, simhash_dedup, sql, token_files
 from lodestone.llm.common import table
 
 
@@ -70,4 +70,4 @@ QUERIES = {
         op10_pii,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_decontamination": sql.OP6, "op7_secret_scan": sql.OP7, "op8_hnsw": sql.OP8, "op10_pii": sql.OP10}
