@@ -119,7 +119,7 @@ def coverage(queries: DataFrame, index: LexicalIndex, exact: DataFrame, words: D
     terms = query_terms(queries).select("query_id", "term")
     unknown = F.log(F.lit(1 + (index.n + 0.5) / 0.5))
     idf = F.coalesce("idf", unknown)
-    bm25 = terms.join(index.idf(), "term", "left").groupBy("query_id").agg(
+    bm25 = terms.join(index.idf(terms), "term", "left").groupBy("query_id").agg(
         (F.sum(F.when(F.col("idf").isNotNull(), idf).otherwise(0.0)) / F.sum(idf)).alias("bm25")
     )
     asked = queries.select("query_id", F.explode(F.array_distinct(split_identifier(F.col("text")))).alias("word"))

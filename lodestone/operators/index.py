@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scores import bm25_idf, term_weight
 from lodestone.functions.text import split_identifier, tokenize
+from lodestone.operators.stored import stored
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -26,6 +27,10 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: Up to so many query terms are told to the scan; more would make the filter slower than a join.
+PUSHED_TERMS = 5000
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """Postings by term, chunk lengths, and the two corpus numbers that ranking needs."""
@@ -37,13 +42,29 @@ class LexicalIndex:
 
     @classmethod
     def build(cls, chunks: DataFrame) -> LexicalIndex:
-        lens = lengths(chunks)
-        row = lens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("m")).first()
-        return cls(postings(chunks), lens, row["n"], row["m"] or 0.0)
+        """Tokenizes once. Postings are written in the order of terms, so that a query's terms prune row groups; a frequent term is split by ordinal."""
+        posts = postings(chunks).repartitionByRange("term", "ordinal").sortWithinPartitions("term", "ordinal")
+        return cls.of(stored(posts, "postings"), chunks.select("ordinal"))
 
-    def idf(self) -> DataFrame:
-        """(term, idf)."""
-        return document_frequency(self.postings).select("term", bm25_idf(F.lit(self.n), F.col("df")).alias("idf"))
+    @classmethod
+    def of(cls, posts: DataFrame, ordinals: DataFrame) -> LexicalIndex:
+        """The index of written postings; ``ordinals`` has every chunk, also those without a term."""
+        own = posts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("len"))
+        lens = stored(ordinals.join(own, "ordinal", "left").select("ordinal", F.coalesce("len", F.lit(0)).cast("long").alias("len")), "lengths")
+        row = lens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("m")).first()
+        return cls(posts, lens, row["n"], row["m"] or 0.0)
+
+    def of_terms(self, terms: DataFrame) -> DataFrame:
+        """Postings of (term) rows: few terms are pushed to the scan, many are joined."""
+        wanted = [r[0] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+        if len(wanted) <= PUSHED_TERMS:
+            return self.postings.filter(F.col("term").isin(wanted))
+        return self.postings.join(terms.select("term").distinct(), "term", "left_semi")
+
+    def idf(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, idf), of the given terms only, if there are any given."""
+        posts = self.postings if terms is None else self.of_terms(terms)
+        return document_frequency(posts).select("term", bm25_idf(F.lit(self.n), F.col("df")).alias("idf"))
 
     def rebuilt(self, retained: DataFrame, added: DataFrame) -> LexicalIndex:
         """The index after a change: ``retained`` (old, new ordinal) keeps postings, ``added`` chunks are indexed."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.scores import bm25_idf, bm25_term
+from lodestone.functions.scores import bm25_term
 from lodestone.functions.text import split_identifier, tokenize
-from lodestone.operators.index import LexicalIndex, document_frequency, sparse_terms
+from lodestone.operators.index import LexicalIndex, sparse_terms
 
 CHANNELS = ("identity", "camelcase", "bm25", "dense", "sparse")
 #: Query batches of up to so many rows are sent to every task; larger ones are joined by shuffle.
@@ -32,17 +33,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def rank_bm25(queries: DataFrame, index: LexicalIndex) -> DataFrame:
     terms = bounded(query_terms(queries))
-    posts = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    idf = document_frequency(posts).select("term", bm25_idf(F.lit(index.n), F.col("df")).alias("idf"))
-    scored = posts.join(index.lengths, "ordinal").join(terms.join(idf, "term"), "term")
+    posts = index.of_terms(terms)
+    scored = posts.join(index.lengths, "ordinal").join(bounded(terms.join(index.idf(terms), "term")), "term")
     part = F.col("times") * bm25_term(F.col("idf"), F.col("tf"), F.col("len"), F.lit(index.mean_length))
     return scored.groupBy("query_id", "ordinal").agg(F.sum(part).alias("score")).filter("score > 0").withColumn("tie", F.lit(0))
 
 
 def rank_sparse(queries: DataFrame, index: LexicalIndex) -> DataFrame:
     terms = bounded(query_terms(queries).select("query_id", "term"))
-    weights = sparse_terms(index.postings.join(terms.select("term").distinct(), "term", "left_semi"))
-    product = weights.join(terms.join(index.idf(), "term"), "term")
+    product = sparse_terms(index.of_terms(terms)).join(bounded(terms.join(index.idf(terms), "term")), "term")
     return product.groupBy("query_id", "ordinal").agg(F.sum(F.col("idf") * F.col("weight")).alias("score")).withColumn("tie", F.lit(0))
 
 
@@ -61,11 +60,18 @@ def rank_camelcase(queries: DataFrame, words: DataFrame) -> DataFrame:
 def rank_dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Exact cosine of (query_id, v) with every (ordinal, v), positive ones only.
 
-    The stated queries, at most ``DENSE_QUERIES`` for one pass, go to every task as one matrix; larger batches take several.
+    The stated queries go to every task as one matrix, ``DENSE_QUERIES`` in a pass; larger batches take several passes.
     """
-    asked = [(r[0], r[1]) for r in queries.select("query_id", F.col("v").cast("array<double>")).limit(DENSE_QUERIES + 1).collect()]
-    if len(asked) > DENSE_QUERIES:
-        raise ValueError(f"more than {DENSE_QUERIES} queries in one pass: split the batch")
+    asked = queries.select("query_id", F.col("v").cast("array<double>").alias("v"))
+    passes = -(-asked.count() // DENSE_QUERIES)
+    if passes > 1:
+        parts = [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(2 * passes)) == k) for k in range(2 * passes)]
+        return reduce(DataFrame.unionByName, [_dense_pass(p, vectors) for p in parts])
+    return _dense_pass(asked, vectors)
+
+
+def _dense_pass(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    asked = [(r[0], r[1]) for r in queries.collect()]
     ids = np.array([a[0] for a in asked], np.int64)
     matrix = np.array([a[1] for a in asked], np.float64).reshape(len(asked), -1)
     norms = np.sqrt((matrix**2).sum(axis=1))

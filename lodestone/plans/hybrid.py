@@ -12,6 +12,7 @@ from lodestone.operators import evidence as ev
 from lodestone.operators import rankers as rk
 from lodestone.operators.fusion import DEPTH, fused, normalized
 from lodestone.operators.index import LexicalIndex, identifier_exact, identifier_words
+from lodestone.operators.stored import stored
 
 
 @dataclass(frozen=True)
@@ -50,9 +51,10 @@ class Corpus:
 
 def hybrid(corpus: Corpus, queries: DataFrame, k: int = 5, keep: Column | None = None, method: str = "dbsf") -> DataFrame:
     """(query_id, rank, ordinal, file, score, rel): evidence from whole lists, fusion from their first 200, filter before top-K."""
-    rankings = corpus.rankings(queries).persist()
-    weights = ev.routed(corpus.evidence(queries, rankings))
-    got = fused(normalized(rankings, method, DEPTH).join(F.broadcast(weights), ["query_id", "channel"]))
+    queries = stored(queries, "queries")
+    rankings = stored(corpus.rankings(queries), "rankings")
+    weights = stored(ev.routed(corpus.evidence(queries, rankings)), "weights")
+    got = fused(normalized(rankings, method, DEPTH).join(rk.bounded(weights), ["query_id", "channel"]))
     total = weights.groupBy("query_id").agg(F.sum("weight").alias("w"))
     scale = 60.0 if method == "rrf" else 1.0
     named = got.drop("rank").join(corpus.chunks.select("ordinal", "file"), "ordinal")

@@ -12,12 +12,19 @@ from lodestone.operators import chunking, fusion, incremental, metrics, selectio
 from lodestone.operators import evidence as ev
 from lodestone.operators import index as ix
 from lodestone.operators import rankers as rk
+from lodestone.operators import router_search as rs
+from lodestone.operators.stored import scratch, stored
+from lodestone.plans import project
 from lodestone.plans.hybrid import Corpus, hybrid, hydrate
-from lodestone.sources.ignore import path_filter
+from lodestone.plans.request import around, clamped
+from lodestone.sources import snapshot
+from lodestone.sources.ignore import Scope, path_filter
 from lodestone.sources.registry import PARSED, TEXT, classify
+from lodestone.sources.scan import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: The historical weights (fixed values).
 WEIGHTS = {"identity": 3.0, "camelcase": 1.5, "bm25": 1.0, "dense": 1.0, "sparse": 1.0}
 
 
@@ -42,10 +49,9 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _identifiers(chunks: DataFrame) -> DataFrame:
-    """A stand-in for extracted identifiers: the first two tokens in Pascal case."""
-    t = tx.tokenize(F.col("text"))
-    name = F.array_join(F.transform(F.slice(t, 1, 2), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 20))), "")
-    return chunks.select(name.alias("name"), "ordinal").filter("name <> ''")
+    """The texts are prose and declare nothing: their capitalised words, of whole texts, stand for declared names."""
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z0-9]*"), F.lit(0)))
+    return chunks.select(F.explode(names).alias("name"), "ordinal")
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +85,7 @@ st AS (SELECT count(*)::DOUBLE AS n, avg(len) AS m FROM lens),
 idf AS (SELECT term, count(*) AS df, ln(1 + ((SELECT n FROM st) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM post GROUP BY 1),
 qs AS (SELECT item_id AS query_id, text FROM benchmark),
 qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS.format(x="text")}) AS term FROM qs) GROUP BY ALL),
-idents AS (SELECT ordinal, array_to_string(list_transform({TOKENS.format(x="text")}[1:2], lambda y: upper(left(y, 1)) || substr(y, 2)), '') AS name FROM chunks),
+idents AS (SELECT DISTINCT ordinal, unnest(regexp_extract_all(text, '[A-Z][A-Za-z0-9]*')) AS name FROM chunks),
 iw AS (SELECT DISTINCT ordinal, unnest({WORDS.format(x="name")}) AS word FROM idents WHERE name <> ''),
 ie AS (SELECT DISTINCT ordinal, lower(name) AS name FROM idents WHERE name <> ''),
 qw AS (SELECT query_id, word, count(*) AS times, min(pos) AS pos FROM (SELECT query_id, unnest({WORDS.format(x="text")}) AS word, generate_subscripts({WORDS.format(x="text")}, 1) AS pos FROM qs) GROUP BY ALL),
@@ -268,7 +274,7 @@ def score_geometry(spark, sf):
 
 @query(f"WITH {BASE}, {EVIDENCE} SELECT query_id, a, b, round(agreement, 6) AS agreement FROM pairs")
 def pairwise_agreement(spark, sf):
-    return ev.agreement_pairs(_corpus(spark, sf).rankings(_queries(spark, sf)).persist()).select("query_id", "a", "b", *_six("agreement"))
+    return ev.agreement_pairs(stored(_corpus(spark, sf).rankings(_queries(spark, sf)), "rankings")).select("query_id", "a", "b", *_six("agreement"))
 
 
 @query(f"WITH {BASE}, {EVIDENCE} SELECT query_id, round(med, 6) AS median, round(mad, 6) AS mad, round(dense_confidence, 6) AS dense_confidence FROM dc")
@@ -287,7 +293,7 @@ def term_coverage(spark, sf):
 @query(f"WITH {BASE}, {ROUTED} SELECT query_id, channel, round(weight, 6) AS weight FROM routed")
 def route_weights(spark, sf):
     c, q = _corpus(spark, sf), _queries(spark, sf)
-    return ev.routed(c.evidence(q, c.rankings(q).persist())).select("query_id", "channel", *_six("weight"))
+    return ev.routed(c.evidence(q, stored(c.rankings(q), "rankings"))).select("query_id", "channel", *_six("weight"))
 
 
 @query(_hybrid_sql("true", 5))
@@ -311,12 +317,18 @@ def _gold(spark, sf) -> DataFrame:
     chunks = _chunks(spark, sf)
     items = _read(spark, sf, "benchmark").filter("text <> ''").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     words = F.filter(F.split("item", "\\s+"), lambda x: x != "")
+    short = rk.bounded(items.filter(F.size(words) <= 2))  # no inner word: every text is searched
+    items = items.filter(F.size(words) > 2)
     # An inner word of an item is a whole word of any text that holds it; the longest is rarest.
     key = F.element_at(F.array_sort(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1))), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), 1)["w"]
     cut = chunks.select("ordinal", F.explode(F.array_distinct(F.split("text", "\\s+"))).alias("w"))
     asked = rk.bounded(items.select("query_id", "item", key.alias("w")))
     near = cut.join(asked, "w").select("query_id", "item", "ordinal").join(chunks.select("ordinal", "text"), "ordinal")
-    return near.filter(F.contains("text", F.col("item"))).select("query_id", F.col("ordinal").alias("target"), "ordinal").distinct()
+    held = F.contains("text", F.col("item"))
+    found = near.filter(held).select("query_id", "ordinal")
+    if not short.isEmpty():
+        found = found.unionByName(chunks.select("ordinal", "text").join(short, held).select("query_id", "ordinal"))
+    return found.select("query_id", F.col("ordinal").alias("target"), "ordinal").distinct()
 
 
 def _bm25(spark, sf) -> DataFrame:
@@ -367,6 +379,7 @@ def hydrate_verify(spark, sf):
     return got.select("query_id", F.col("rank").cast("int").alias("rank"), "ordinal", "hash", "ok")
 
 
+#: Retrieval variants (fixed values).
 VARIANTS = {
     "identity": ("identity",), "camelcase": ("camelcase",), "bm25": ("bm25",), "dense": ("dense",), "sparse": ("sparse",), "identifiers": ("identity", "camelcase"),
     "identity+bm25": ("identity", "bm25"), "identity+dense": ("identity", "dense"), "camelcase+bm25": ("camelcase", "bm25"), "camelcase+dense": ("camelcase", "dense"),
@@ -493,7 +506,7 @@ SELECT channel, round(sum((b.u - a.u) * factorial(bit_count(a.mask)) * factorial
 def shapley_values(spark, sf):
     from pyspark.sql.window import Window
 
-    gold = _gold(spark, sf).persist()
+    gold = stored(_gold(spark, sf), "gold")
     table = F.broadcast(spark.createDataFrame(_masks(), "mask int, channel string, weight double"))
     norm = fusion.normalized(_corpus(spark, sf).rankings(_queries(spark, sf)), "rrf").join(table, "channel")
     sums = norm.groupBy("mask", "query_id", "ordinal").agg(F.sum(F.col("weight") * F.col("norm")).alias("score"))
@@ -511,8 +524,9 @@ s AS (SELECT query_id % 4 AS form, query_id % 3 AS repository, coalesce(recall,
 SELECT form, repository, count(*) AS n, round(avg(recall), 6) AS recall FROM s GROUP BY GROUPING SETS ((), (form), (repository))""")
 def holdout_grouping_sets(spark, sf):
     per = metrics.recall(_queries(spark, sf), metrics.target_ranks(_bm25(spark, sf), _gold(spark, sf)), (20,))
-    per.select((F.col("query_id") % 4).alias("form"), (F.col("query_id") % 3).alias("repository"), F.col("recall_20").alias("recall")).createOrReplaceTempView("lodestone_samples")
-    return spark.sql("SELECT form, repository, count(*) AS n, round(avg(recall), 6) AS recall FROM lodestone_samples GROUP BY form, repository GROUPING SETS ((), (form), (repository))")
+    samples = per.select((F.col("query_id") % 4).alias("form"), (F.col("query_id") % 3).alias("repository"), F.col("recall_20").alias("recall"))
+    sets = samples.groupingSets([[], ["form"], ["repository"]], "form", "repository")
+    return sets.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall"), 6).alias("recall")).select("form", "repository", "n", "recall")
 
 
 @query()
@@ -534,10 +548,10 @@ def grouped_folds(spark, sf):
     return metrics.grouped_folds(items)
 
 
-@query("""SELECT doc, token_id, round(ln(1 + ln(1 + m)), 6) AS weight FROM (SELECT label AS doc, i::INT AS token_id, max(embedding[i + 1])::DOUBLE AS m FROM embeddings, range(64) g(i) WHERE vec_id % 5 <> 0 GROUP BY ALL) WHERE m > 0 AND token_id <> 3""")
+@query("""SELECT doc, token_id, round(ln(1 + ln(1 + m)), 6) AS weight FROM (SELECT label AS doc, i::INT AS token_id, max(embedding[i + 1])::DOUBLE AS m FROM embeddings, range(64) g(i) WHERE embedding[1] > 0 GROUP BY ALL) WHERE m > 0 AND token_id <> 3""")
 def sparse_encoding(spark, sf):
-    rows = _read(spark, sf, "embeddings").filter("vec_id % 5 <> 0")
-    logits = rows.select(F.col("label").alias("doc"), F.col("vec_id").alias("position"), F.posexplode("embedding").alias("token_id", "logit"))
+    attended = F.element_at("embedding", 1) > 0  # the mask: positions whose first logit is positive
+    logits = _read(spark, sf, "embeddings").filter(attended).select(F.col("label").alias("doc"), F.col("vec_id").alias("position"), F.posexplode("embedding").alias("token_id", "logit"))
     return selection.sparse_documents(logits, [3]).select("doc", "token_id", *_six("weight"))
 
 
@@ -605,3 +619,174 @@ def selection_stability(spark, sf):
     rows = _read(spark, sf, "lineitem").selectExpr("l_returnflag AS flag", "l_linenumber AS config", "l_discount - 0.05D AS drop")
     got = selection.stability(rows, ["flag"])
     return got.select("flag", "folds", "distinct_selections", *_six("selection_frequency", "median_drop", "worst_drop"))
+
+
+@query("""SELECT DISTINCT l_quantity * 3 - 10 AS asked, CASE WHEN l_quantity * 3 - 10 < 1 THEN 1 WHEN l_quantity * 3 - 10 > 100 THEN 100 ELSE floor(l_quantity * 3 - 10) END::INT AS applied,
+l_quantity * 3 - 10 < 1 OR l_quantity * 3 - 10 > 100 AS clamped FROM lineitem""")
+def top_clamp(spark, sf):
+    asked = _read(spark, sf, "lineitem").select((F.col("l_quantity") * 3 - 10).alias("asked")).distinct()
+    got = asked.withColumn("c", clamped(F.col("asked")))
+    return got.select("asked", F.col("c.value").alias("applied"), F.col("c.clamped").alias("clamped"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\r$', '')) AS x FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, nullif(array_to_string(x[1:2], chr(10)), '') AS before, nullif(array_to_string(x[5:7], chr(10)), '') AS after FROM l""")
+def context_lines(spark, sf):
+    before, after = around(F.col("text"), F.lit(3), F.lit(4), 3)
+    return _read(spark, sf, "documents").filter("text is not null").select("doc_id", before.alias("before"), after.alias("after"))
+
+
+@query(f"""{_RR}, sized AS (SELECT query_id, ordinal, rank, sum(ceil(strlen(file || ':1-1' || chr(10) || text) / 4.0)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM bm JOIN chunks USING (ordinal)),
+p AS (SELECT g.query_id, g.target, min(used) AS used FROM gold g LEFT JOIN sized USING (query_id, ordinal) GROUP BY ALL)
+SELECT query_id, {", ".join(f"round(coalesce(avg(CASE WHEN used <= {b} THEN 1.0::DOUBLE WHEN target IS NOT NULL THEN 0 END), 1), 6) AS context_{b}" for b in (2048, 4096, 8192, 16384))} FROM qs LEFT JOIN p USING (query_id) GROUP BY 1""")
+def context_recall(spark, sf):
+    one = F.lit(1)
+    tokens = _chunks(spark, sf).select("ordinal", tx.estimated_tokens(F.col("file"), one, one, F.col("text")).alias("tokens"))
+    got = metrics.context_recall(_queries(spark, sf), _bm25(spark, sf), _gold(spark, sf), tokens, (2048, 4096, 8192, 16384))
+    return got.select("query_id", *_six(*[f"context_{b}" for b in (2048, 4096, 8192, 16384)]))
+
+
+def _ideal_sql(k: int) -> str:
+    return f"(SELECT sum(1 / log2(i + 1.0::DOUBLE)) FROM range(1, {k} + 1) g(i) WHERE i <= n)"
+
+
+_FORM_WEIGHTS = (1.0, 2.0, 3.0, 0.0)
+
+
+@query(f"""{_RR}, sized AS (SELECT query_id, ordinal, rank, sum(ceil(strlen(file || ':1-1' || chr(10) || text) / 4.0)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM bm JOIN chunks USING (ordinal)),
+p AS (SELECT g.query_id, g.target, min(rank) AS rank, min(used) AS used FROM gold g LEFT JOIN sized USING (query_id, ordinal) GROUP BY ALL),
+n AS (SELECT query_id, count(DISTINCT ordinal) AS n FROM gold GROUP BY 1),
+r AS (SELECT query_id, {", ".join(f"avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END) AS recall_{k}" for k in (5, 10, 20, 50))}, avg(CASE WHEN used <= 4096 THEN 1.0::DOUBLE ELSE 0 END) AS context_4096, 1.0::DOUBLE / min(rank) AS reciprocal_rank FROM p GROUP BY 1),
+d AS (SELECT query_id, {", ".join(f"sum(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS dcg_{k}" for k in (5, 10, 20, 50))} FROM bm JOIN gold USING (query_id, ordinal) GROUP BY 1),
+per AS (SELECT query_id % 4 AS form, query_id % 3 AS repository, CASE query_id % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS w,
+  {", ".join(f"coalesce(recall_{k}, 1) AS recall_{k}, coalesce(dcg_{k} / {_ideal_sql(k)}, 0) AS ndcg_{k}" for k in (5, 10, 20, 50))}, coalesce(context_4096, 1) AS context_4096, coalesce(reciprocal_rank, 0) AS reciprocal_rank
+  FROM qs LEFT JOIN n USING (query_id) LEFT JOIN r USING (query_id) LEFT JOIN d USING (query_id))
+SELECT repository, {", ".join(f"round(coalesce(sum(w * {m}) / nullif(sum(w), 0), 0), 6) AS {m}" for m in rs.METRICS)} FROM per GROUP BY 1""")
+def weighted_summary(spark, sf):
+    one = F.lit(1)
+    tokens = _chunks(spark, sf).select("ordinal", tx.estimated_tokens(F.col("file"), one, one, F.col("text")).alias("tokens"))
+    asked = _queries(spark, sf).select(F.lit(0).alias("candidate"), "query_id")
+    per = rs.per_query_quality(_bm25(spark, sf).select(F.lit(0).alias("candidate"), "query_id", "ordinal", "rank"), asked, _gold(spark, sf), tokens)
+    weight = F.element_at(F.array(*map(F.lit, _FORM_WEIGHTS)), (F.col("query_id") % 4 + 1).cast("int"))
+    return rs.summary(per.withColumn("repository", F.col("query_id") % 3), ["repository"], weight).select("repository", *_six(*rs.METRICS))
+
+
+@query("""WITH s AS (SELECT conv_id AS query_id, conv_id % 5 AS fold, conv_id % 3 AS repository FROM conversations WHERE turn = 0)
+SELECT 'grouped' AS strategy, (k + 1)::VARCHAR AS fold, query_id, s.fold = k AS validation FROM s, range(5) r(k)
+UNION ALL SELECT 'leave-one-repository-out', n::VARCHAR, query_id, repository = n FROM s, (SELECT DISTINCT repository AS n FROM s)""")
+def search_splits(spark, sf):
+    rows = _read(spark, sf, "conversations").filter("turn = 0").selectExpr("conv_id AS query_id", "conv_id % 5 AS fold", "conv_id % 3 AS repository")
+    return rs.splits(rows, 5)
+
+
+_CANDIDATES = """cand AS (SELECT l_suppkey % 7 AS a, l_linenumber AS b, l_partkey % 5 AS c, avg(l_discount) * 5 AS recall_20, avg(l_tax) * 5 AS recall_5, avg(l_quantity) / 100 AS recall_50, avg(l_discount + l_tax) AS context_4096
+  FROM lineitem GROUP BY ALL), k AS (SELECT a || ':' || b || ':' || c AS candidate, a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, round(recall_20, 6) AS recall_20, round(recall_5, 6) AS recall_5, round(recall_50, 6) AS recall_50, round(context_4096, 6) AS context_4096 FROM cand)"""
+
+
+def _archive(spark, sf) -> DataFrame:
+    rows = _read(spark, sf, "lineitem").selectExpr("l_suppkey % 7 a", "l_linenumber b", "l_partkey % 5 c", "l_discount", "l_tax", "l_quantity").groupBy("a", "b", "c")
+    got = rows.agg(
+        (F.avg("l_discount") * 5).alias("recall_20"), (F.avg("l_tax") * 5).alias("recall_5"), (F.avg("l_quantity") / 100).alias("recall_50"), F.avg(F.col("l_discount") + F.col("l_tax")).alias("context_4096")
+    )
+    name = F.concat_ws(":", *[F.col(x).cast("string") for x in "abc"])
+    return got.select(name.alias("candidate"), *[F.col(x).cast("double").alias(x) for x in "abc"], *_six("recall_20", "recall_5", "recall_50", "context_4096"))
+
+
+@query(f"""WITH {_CANDIDATES}, g AS (SELECT *, recall_20 >= 0.24 AND recall_50 >= 0.24 AND recall_5 >= 0.18 AND context_4096 >= 0.08 AS eligible FROM k)
+SELECT candidate, eligible, (row_number() OVER (ORDER BY eligible DESC, recall_20 DESC, recall_5 DESC, context_4096 DESC, recall_50 DESC, candidate))::INT AS place FROM g""")
+def objective_order(spark, sf):
+    base = {"recall_20": 0.25, "recall_50": 0.25, "recall_5": 0.19, "context_4096": 0.09}
+    return rs.objective_order(_archive(spark, sf), "reranker-top20", base).select("candidate", "eligible", "place")
+
+
+@query(f"""WITH {_CANDIDATES}, p AS (SELECT x.candidate, abs(x.recall_20 - y.recall_20) <= 0.005 AS same, abs(x.a - y.a) + abs(x.b - y.b) + abs(x.c - y.c) AS width
+  FROM k x JOIN k y ON (x.a <> y.a)::INT + (x.b <> y.b)::INT + (x.c <> y.c)::INT = 1)
+SELECT candidate, count(same) AS neighbours, round(coalesce(avg(same::INT), 0), 6) AS plateau_share, round(coalesce(max(width) FILTER (same), 0), 6) AS plateau_width FROM k LEFT JOIN p USING (candidate) GROUP BY 1""")
+def archive_neighbours(spark, sf):
+    return rs.neighbours(_archive(spark, sf), ["a", "b", "c"], "recall_20").select("candidate", "neighbours", *_six("plateau_share", "plateau_width"))
+
+
+@query("""WITH r AS (SELECT l_shipmode_ AS strategy, * FROM (SELECT CASE WHEN l_linenumber <= 4 THEN 'grouped' ELSE 'leave-one-repository-out' END AS l_shipmode_, l_returnflag AS model, l_linestatus AS fusion, l_suppkey % 3 AS objective, l_linenumber::VARCHAR AS fold, l_tax < 0.08 AS met, l_discount > 0.099 AS blocked FROM lineitem)),
+g AS (SELECT model, fusion, objective, list_sort(list_filter(['grouped', 'leave-one-repository-out'], lambda x: NOT list_contains(list(DISTINCT strategy), x))) AS missing, bool_or(strategy = 'grouped' AND fold = '4') AS final_present,
+  coalesce(bool_and(met) FILTER (strategy = 'grouped' AND fold = '4'), false) AS final_met, sum(blocked::INT)::BIGINT AS blockers FROM r GROUP BY 1, 2, 3)
+SELECT model, fusion, objective, array_to_string(missing, ',') AS missing, final_present, final_met, blockers, CASE WHEN len(missing) = 0 AND final_met AND blockers = 0 THEN 'eligible' ELSE 'no-eligible-candidate' END AS status FROM g""")
+def promotion_evidence(spark, sf):
+    rows = _read(spark, sf, "lineitem").selectExpr(
+        "if(l_linenumber <= 4, 'grouped', 'leave-one-repository-out') strategy", "l_returnflag model", "l_linestatus fusion", "l_suppkey % 3 objective", "cast(l_linenumber as string) fold", "l_tax < 0.08D guards_met", "cast(l_discount > 0.099D as int) blockers"
+    )
+    return rs.promotion(rows, ("grouped", "leave-one-repository-out"), ("grouped", "4")).withColumn("missing", F.array_join("missing", ","))
+
+
+_TREE = """f AS (SELECT lang || '/' || source || '/' || CASE WHEN doc_id % 3 = 0 THEN 'build/' ELSE '' END || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.log' END AS path, n_chars AS size FROM documents)"""
+
+
+@query(f"""WITH {_TREE}, j AS (SELECT path, size, regexp_matches(path, '(^|/)build/') AS built, regexp_matches(path, '\\.log$') AND NOT regexp_matches(path, '^en/.*[05]\\.log$') AS logged FROM f)
+SELECT path, size, built OR logged AS skipped FROM j""")
+def scan_files(spark, sf):
+    build = F.when(F.col("doc_id") % 3 == 0, "build/").otherwise("")
+    end = F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".log")
+    listing = _read(spark, sf, "documents").select(F.concat("lang", F.lit("/"), "source", F.lit("/"), build, F.col("doc_id").cast("string"), end).alias("path"), F.lit(0).alias("mtime"), F.col("n_chars").alias("size"))
+    rules = [Scope("", ("build/", "*.log", "# a comment", "!build/0.txt")), Scope("en", ("!*[05].log",))]
+    kept, skipped = scan(listing, rules)
+    out = skipped.join(listing, "path").select("path", "size", F.lit(True).alias("skipped"))
+    return kept.select("path", "size", F.lit(False).alias("skipped")).unionByName(out)
+
+
+@query("""WITH f AS (SELECT 'd' || doc_id AS file, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark),
+a AS (SELECT file, CASE WHEN file LIKE '%7' THEN 'old ' || text ELSE text END AS text FROM f WHERE file LIKE 'b%' OR file LIKE 'd%'), b AS (SELECT file, text FROM f WHERE file LIKE 'd%'),
+ca AS (SELECT DISTINCT sha256(text) AS hash FROM a WHERE text <> ''), p AS (SELECT b.file, b.text FROM b LEFT JOIN a USING (file) WHERE a.file IS NULL OR a.text <> b.text OR file LIKE '%7'),
+cp AS (SELECT sha256(text) AS hash, count(*) AS n FROM p WHERE text <> '' GROUP BY 1)
+SELECT (SELECT count(*) FROM b) AS files, (SELECT count(*) FROM p) AS processed, (SELECT count(*) FROM b) - (SELECT count(*) FROM p) AS reused, (SELECT count(*) FROM b WHERE text <> '') AS chunks,
+  coalesce((SELECT sum(n) FROM cp), 0)::BIGINT - (SELECT count(*) FROM cp WHERE hash NOT IN (SELECT hash FROM ca)) AS cache_hits, (SELECT count(*) FROM cp WHERE hash NOT IN (SELECT hash FROM ca)) AS cache_misses,
+  (SELECT count(DISTINCT sha256(text)) FROM b WHERE text <> '') AS active, (SELECT count(*) FROM ca WHERE hash NOT IN (SELECT sha256(text) FROM b)) AS history""")
+def incremental_index(spark, sf):
+    """Two updates: documents and items with older texts of some files, then the documents as they are."""
+    docs = _read(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), "text")
+    items = _read(spark, sf, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("file"), "text")
+    old = F.endswith("file", F.lit("7"))
+    first = docs.unionByName(items).withColumn("text", F.when(old, F.concat(F.lit("old "), "text")).otherwise(F.col("text")))
+    meta = lambda df, t: df.select("file", F.when(old, F.lit(t)).otherwise(F.lit(0)).cast("long").alias("mtime"), F.lit(1).cast("long").alias("size"), "text")
+    root = scratch(spark, "project")
+    project.update(spark, root, meta(first, 1))
+    r = project.update(spark, root, meta(docs, 2))
+    sizes = project.cache_sizes(spark, root)
+    snapshot.vacuum(spark, root)
+    row = (r.files, r.processed, r.reused, r.chunks, r.cache_hits, r.cache_misses, sizes["active"], sizes["history"])
+    return spark.createDataFrame([row], ", ".join(f"{c} long" for c in ("files", "processed", "reused", "chunks", "cache_hits", "cache_misses", "active", "history")))
+
+
+_SYMBOLS = """g AS (SELECT item_id AS query_id, regexp_extract(text, '[A-Za-z]+', 0) AS symbol FROM benchmark WHERE regexp_matches(text, '[A-Za-z]'))"""
+
+
+@query(f"""WITH {_SYMBOLS}, c AS (SELECT doc_id AS ordinal, lang AS file, text, list_transform(regexp_extract_all(text, '[A-Z][A-Za-z0-9]*'), lambda x: lower(x)) AS names FROM documents WHERE text IS NOT NULL)
+SELECT query_id, ordinal FROM g JOIN c ON c.file = 'en' AND (list_contains(names, lower(symbol)) OR regexp_matches(text, '(?:async\\s+def|def|class|function|interface|type|const|let|var|fn|struct|enum|trait|static)\\s+' || symbol || '\\b'))""")
+def gold_declarations(spark, sf):
+    symbol = F.regexp_extract("text", "[A-Za-z]+", 0)
+    gold = _read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("target"), F.lit("en").alias("file"), symbol.alias("symbol")).filter("symbol <> ''")
+    docs = _read(spark, sf, "documents").filter("text is not null")
+    names = docs.select(F.col("doc_id").alias("ordinal"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z0-9]*"), F.lit(0)))).alias("name"))
+    return metrics.gold_targets(gold, docs.select(F.col("doc_id").alias("ordinal"), F.col("lang").alias("file"), "text"), names).select("query_id", "ordinal")
+
+
+@query()
+def router_search(spark, sf):
+    """Scouts, corners' worth of proxy samples, a cloud and the promoted parameters: the best candidate of each objective."""
+    c, q = _corpus(spark, sf), _queries(spark, sf)
+    rankings = stored(c.rankings(q), "rankings")
+    norms, found = stored(fusion.normalized(rankings, "dbsf"), "norms"), stored(c.evidence(q, rankings), "evidence")
+    one = F.lit(1)
+    tokens = stored(_chunks(spark, sf).select("ordinal", tx.estimated_tokens(F.col("file"), one, one, F.col("text")).alias("tokens")), "tokens")
+    forms = F.element_at(F.array(*map(F.lit, rs._FORMS)), (F.col("query_id") % 4 + 1).cast("int"))
+    samples = stored(q.select("query_id", forms.alias("form")), "samples")
+    proxies = stored(selection.proxy_samples(samples, ["form"], "query_id"), "proxies")
+    gold, weights = stored(_gold(spark, sf), "gold"), rs.PROFILES["search-priority"].forms
+    full = rs.Evaluator(norms, found, samples, gold, tokens, weights)
+    search = rs.Search(full, rs.Evaluator(norms, found, proxies, gold, tokens, weights))
+    base = rs.promoted()
+    baseline = full([base])[rs.router_key(base)]
+    search.funnel([base], scouts=16, corners=False, cloud=4, radius=2, survivors=8, finalists=16, baseline=baseline)
+    rows = []
+    for objective in rs.PRIORITIES:
+        config, quality, met = search.best(objective, baseline)
+        rows.append((objective, rs.router_key(config), met, *(quality[m] for m in rs.METRICS)))
+    return spark.createDataFrame(rows, "objective string, candidate string, guards_met boolean, " + ", ".join(f"{m} double" for m in rs.METRICS))

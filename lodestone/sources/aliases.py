@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import SparkSession
 
 from lodestone.sources import snapshot
 
 SCHEMA = "name string, text string, options string"
+#: Names (fixed rule): a letter or digit, then letters, digits, underscores, hyphens.
+NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]*\Z")
 OPTIONS = ("top", "context_lines", "ignore_path", "only_path", "max_characters", "no_content", "profile")
 
 
@@ -33,6 +36,8 @@ def _save(spark: SparkSession, root: str, aliases: list[dict]) -> None:
 
 def add(spark: SparkSession, root: str, name: str, text: str, **options) -> None:
     """Creates or replaces an alias."""
+    if not NAME.match(name):
+        raise ValueError(f"not a name for an alias: {name!r}")
     others = [a for a in listed(spark, root) if a["name"] != name]
     _save(spark, root, [*others, {"name": name, "text": text, "options": _given(options)}])
 

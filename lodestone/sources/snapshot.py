@@ -1,4 +1,8 @@
-"""Index snapshots: a directory of Parquet tables for each generation, made current by renaming a pointer file."""
+"""Index snapshots: a directory of Parquet tables for each generation, made current by renaming a pointer file over the old one.
+
+The rename replaces the pointer in one step where the file system can (HDFS, local, viewfs); a reader sees the old generation or the new
+one, and a crash leaves one of them. ``vacuum`` frees generations that no reader needs any more.
+"""
 
 from __future__ import annotations
 
@@ -31,12 +35,27 @@ def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
     out = fs.create(fresh, True)
     out.write(bytearray(name.encode()))
     out.close()
-    fs.delete(path(f"{root}/{POINTER}"), False)
-    if not fs.rename(fresh, path(f"{root}/{POINTER}")):
-        raise OSError(f"the pointer of {root} could not be swapped")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    over[0] = jvm.Options.Rename.OVERWRITE
+    context = jvm.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(path(f"{root}/{POINTER}")), over)
     return name
 
 
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Deletes all generations but the current one; gives the bytes freed."""
+    fs, path = _fs(spark, root)
+    if not fs.exists(path(root)):
+        return 0
+    name, freed = current(spark, root), 0
+    for entry in fs.listStatus(path(root)):
+        if entry.isDirectory() and entry.getPath().getName() != name:
+            freed += fs.getContentSummary(entry.getPath()).getLength()
+            fs.delete(entry.getPath(), True)
+    return freed
+
+
 def load(spark: SparkSession, root: str, table: str, columns: list[str] | None = None) -> DataFrame | None:
     """A table of the current generation, or None; only the named columns are read."""
     name = current(spark, root)
@@ -46,9 +65,9 @@ def load(spark: SparkSession, root: str, table: str, columns: list[str] | None =
     return df.select(*columns) if columns else df
 
 
-def reset(spark: SparkSession, root: str) -> None:
+def reset(spark: SparkSession, root: str) -> int:
+    """Removes the index with all its generations; gives the bytes freed."""
     fs, path = _fs(spark, root)
-    name = current(spark, root)
-    if name is not None:
+    if fs.exists(path(f"{root}/{POINTER}")):
         fs.delete(path(f"{root}/{POINTER}"), False)
-        fs.delete(path(f"{root}/{name}"), True)
+    return vacuum(spark, root)
