@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.stored import stored
+
 
 def manifest_diff(scanned: DataFrame, manifest: DataFrame) -> DataFrame:
     """(file, state) of (file, mtime, size, hash): fresh (nothing to do), touched (same content), changed, added, deleted."""
@@ -44,13 +48,19 @@ def cache_history(active: DataFrame, history: DataFrame, now: DataFrame) -> Data
 
 
 def assign_ordinals(chunks: DataFrame) -> DataFrame:
-    """(file, idx, ordinal): dense numbers in (file, idx) order by per-file counts and their running sum.
+    """(file, idx, ordinal): dense numbers in (file, idx) order (binary order of names, not a locale's).
 
-    Only one row for each file meets in the ordering window; chunks get theirs by a join on file.
+    Files are dealt into ranges; running sums of their chunks within each range, and the ranges' sums (one driver row for each), give the first
+    number of every file. Chunks get theirs by a join on file.
     """
     counts = chunks.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    dealt = stored(counts.repartitionByRange("file").withColumn("__range", F.spark_partition_id()), "file-ranges")
+    sums = sorted((r[0], r[1]) for r in dealt.groupBy("__range").agg(F.sum("n")).collect())
+    firsts = list(accumulate((n for _, n in sums), initial=0))
+    bases = chunks.sparkSession.createDataFrame([(k, b) for (k, _), b in zip(sums, firsts, strict=False)], "__range int, __base long")
+    before = Window.partitionBy("__range").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(bases, "__range")
+    base = base.select("file", (F.col("__base") + F.col("__before")).alias("base"))
     place = F.row_number().over(Window.partitionBy("file").orderBy("idx")) - 1
     return chunks.select("file", "idx", place.alias("p")).join(base, "file").select("file", "idx", (F.col("base") + F.col("p")).alias("ordinal"))
 

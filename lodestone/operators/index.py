@@ -90,3 +90,8 @@ def identifier_words(identifiers: DataFrame) -> DataFrame:
 def sparse_terms(posts: DataFrame) -> DataFrame:
     """(ordinal, term, weight): log-saturated counts stand in for a learned model's weights."""
     return posts.select("ordinal", "term", term_weight(F.col("tf")).alias("weight"))
+
+
+def rebuilt_identifiers(words: DataFrame, retained: DataFrame, added: DataFrame) -> DataFrame:
+    """The word table after a change: words of kept chunks under their new ordinals, and those of ``added`` (name, ordinal)."""
+    return remap(words, retained).unionByName(identifier_words(added)).distinct()

@@ -45,6 +45,69 @@ def rank_sparse(queries: DataFrame, index: LexicalIndex) -> DataFrame:
     return product.groupBy("query_id", "ordinal").agg(F.sum(F.col("idf") * F.col("weight")).alias("score")).withColumn("tie", F.lit(0))
 
 
+def rank_sparse_ids(queries: DataFrame, idf: DataFrame, terms: DataFrame, contract: str | None = None, asked: str | None = None) -> DataFrame:
+    """Learned weights: (query_id, ids) with idf (token_id, weight) and terms (ordinal, token_id, weight); each id of a query counts once, ids without idf not at all.
+
+    An index made with another contract than what is asked for is an error.
+    """
+    if contract != asked:
+        raise ValueError(f"the sparse index was made with {contract!r}, not {asked!r}")
+    wanted = bounded(queries.select("query_id", F.explode(F.array_distinct("ids")).alias("token_id")).join(idf.withColumnRenamed("weight", "idf"), "token_id"))
+    product = terms.join(wanted, "token_id").groupBy("query_id", "ordinal").agg(F.sum(F.col("idf") * F.col("weight")).alias("score"))
+    return product.withColumn("tie", F.lit(0))
+
+
+def rank_dense_quantised(queries: DataFrame, vectors: DataFrame, k: int = 10, rescored: int = 20) -> DataFrame:
+    """(query_id, ordinal, score, tie) of about the ``k`` nearest by cosine: a scan of 4-bit codes, then exact scores of the best ``rescored`` x ``k``.
+
+    Vectors are turned by a fixed random rotation, which spreads their mass evenly, scaled by their largest component and cut to 15 levels.
+    """
+    asked = [(r[0], r[1]) for r in queries.select("query_id", F.col("v").cast("array<double>")).limit(DENSE_QUERIES).collect()]
+    if not asked:
+        return queries.select("query_id", F.lit(0).cast("long").alias("ordinal"), F.lit(0.0).alias("score"), F.lit(0).alias("tie")).limit(0)
+    matrix = np.array([v for _, v in asked], np.float64).reshape(len(asked), -1)
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    shared = queries.sparkSession.sparkContext.broadcast((np.array([a for a, _ in asked], np.int64), matrix / np.where(size > 0, size, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = shared.value
+        turn = np.linalg.qr(np.random.default_rng(11).normal(size=(unit.shape[1], unit.shape[1])))[0]
+        turned = unit @ turn
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            norm = np.linalg.norm(rows, axis=1)
+            rows = rows / np.where(norm > 0, norm, 1)[:, None]
+            spun = rows @ turn
+            scale = np.maximum(np.abs(spun).max(axis=1), 1e-300)
+            codes = np.rint(spun / scale[:, None] * 7).astype(np.int8)  # 4 bits
+            near = (turned @ codes.T) * scale / 7
+            most = min(rescored * k, batch.num_rows)
+            best = np.argpartition(-near, most - 1, axis=1)[:, :most]
+            exact = np.einsum("qd,qnd->qn", unit, rows[best])
+            q, at = np.nonzero(exact > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0).take(pa.array(best[q, at])), pa.array(exact[q, at])], names=["query_id", "ordinal", "score"])
+
+    rows = vectors.select(F.col("ordinal").cast("long"), F.col("v").cast("array<double>")).filter("v is not null and size(v) > 0")
+    found = rows.mapInArrow(run, "query_id long, ordinal long, score double").withColumn("tie", F.lit(0))
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "ordinal")
+    return found.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= k).drop("__r")
+
+
+#: From so many vectors on, the automatic mode scans codes.
+QUANTISED_FROM = 50_000
+
+
+def rank_dense_by(mode: str, queries: DataFrame, vectors: DataFrame, k: int = 200) -> DataFrame:
+    """Dense ranking in a mode: exact, quantised, or auto, which takes codes for large tables."""
+    if mode not in ("exact", "auto", "quantised"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "quantised" or mode == "auto" and vectors.limit(QUANTISED_FROM).count() >= QUANTISED_FROM:
+        return rank_dense_quantised(queries, vectors, k)
+    return rank_dense(queries, vectors)
+
+
 def rank_identity(queries: DataFrame, exact: DataFrame) -> DataFrame:
     asked = bounded(queries.select("query_id", F.lower("text").alias("name_lc")).filter("name_lc <> ''"))
     return exact.join(asked, "name_lc").select("query_id", "ordinal", F.lit(1.0).alias("score"), F.lit(0).alias("tie"))

@@ -18,6 +18,7 @@ from lodestone.plans import project
 from lodestone.plans.hybrid import Corpus, hybrid, hydrate
 from lodestone.plans.request import around, clamped
 from lodestone.sources import snapshot
+from lodestone.sources.corpora import in_corpus
 from lodestone.sources.ignore import Scope, path_filter
 from lodestone.sources.registry import PARSED, TEXT, classify
 from lodestone.sources.scan import scan
@@ -790,3 +791,83 @@ def router_search(spark, sf):
         config, quality, met = search.best(objective, baseline)
         rows.append((objective, rs.router_key(config), met, *(quality[m] for m in rs.METRICS)))
     return spark.createDataFrame(rows, "objective string, candidate string, guards_met boolean, " + ", ".join(f"{m} double" for m in rs.METRICS))
+
+
+@query("""WITH u AS (SELECT page_id, url, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS file FROM pages)
+SELECT page_id, file FROM u WHERE (starts_with(file, 'a') OR starts_with(file, 'p') OR starts_with(file, 'e')) AND NOT starts_with(file, 'ad') AND (ends_with(file, 'html') OR ends_with(file, '1') OR ends_with(file, '3'))""")
+def corpus_files(spark, sf):
+    file = F.regexp_replace("url", "^[a-z]+://[^/]*/?", "")
+    return _read(spark, sf, "pages").select("page_id", file.alias("file")).filter(in_corpus(F.col("file"), ["a", "p", "e"], ["ad"], ["html", "1", "3"]))
+
+
+@query("""SELECT l_returnflag AS repository, l_linestatus AS model, l_linenumber AS variant, l_suppkey % 4 AS form, count(*) AS n, round(avg(l_discount), 6) AS recall, round(avg(l_tax), 6) AS ndcg FROM lineitem GROUP BY ALL""")
+def report_averages(spark, sf):
+    rows = _read(spark, sf, "lineitem").selectExpr("l_returnflag repository", "l_linestatus model", "l_linenumber variant", "l_suppkey % 4 form", "l_discount recall", "l_tax ndcg")
+    return rs.averages(rows, ["recall", "ndcg"]).select("repository", "model", "variant", "form", "n", *_six("recall", "ndcg"))
+
+
+@query("""WITH t AS (SELECT doc_id AS ordinal, length(tok) AS token_id, count(*)::DOUBLE AS weight FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS tok FROM documents) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id AS query_id, length(tok) AS token_id FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS tok FROM benchmark)),
+s AS (SELECT query_id, ordinal, sum(weight * (1.0::DOUBLE / token_id)) AS score FROM q JOIN t USING (token_id) WHERE token_id BETWEEN 3 AND 9 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ordinal) AS rank FROM s)
+SELECT query_id, ordinal, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
+def sparse_ids_rank(spark, sf):
+    """Token ids of a tiny vocabulary, the words' lengths, with an idf table that knows the ids 3 to 9 only."""
+    tokens = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    terms = _read(spark, sf, "documents").select(F.col("doc_id").alias("ordinal"), F.explode(F.transform(tokens, F.length)).alias("token_id"))
+    terms = terms.groupBy("ordinal", "token_id").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    idf = spark.range(3, 10).select(F.col("id").cast("int").alias("token_id"), (1.0 / F.col("id")).alias("weight"))
+    asked = _read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.transform(tokens, F.length).alias("ids"))
+    return _top(rk.ranked("sparse", rk.rank_sparse_ids(asked, idf, terms)))
+
+
+@query(_top_sql("dense"))
+def dense_quantised(spark, sf):
+    """The scan of 4-bit codes with rescoring; its first ten are the exact ones at this rescoring."""
+    return _top(rk.ranked("dense", rk.rank_dense_quantised(_queries(spark, sf).filter("v is not null"), _vectors(spark, sf))))
+
+
+@query(f"WITH {BASE}, keep AS (SELECT ordinal AS old, (row_number() OVER (ORDER BY ordinal) - 1)::BIGINT AS new FROM chunks WHERE ordinal % 3 <> 0) SELECT DISTINCT new AS ordinal, word FROM iw JOIN keep ON ordinal = old UNION SELECT 1000000 + ordinal, word FROM iw WHERE ordinal % 3 = 0")
+def identifiers_rebuilt(spark, sf):
+    """Word table after a change: two thirds of the chunks keep their names under new numbers, the others come anew behind them."""
+    chunks = _chunks(spark, sf)
+    names = _identifiers(chunks)
+    kept = incremental.assign_ordinals(chunks.filter("ordinal % 3 <> 0").select(F.lit("").alias("file"), F.col("ordinal").alias("idx")))
+    added = names.filter("ordinal % 3 = 0").select("name", (F.col("ordinal") + 1_000_000).alias("ordinal"))
+    return ix.rebuilt_identifiers(ix.identifier_words(names), kept.select(F.col("idx").alias("old"), F.col("ordinal").alias("new")), added).select("ordinal", "word")
+
+
+_NAME = "regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g')"
+_SOURCE = f"""'import os' || chr(10) || chr(10) || 'def f_' || {_NAME} || '(x):' || chr(10) || '    return x' || chr(10) || chr(10) || chr(10) || 'class C' || p_partkey || ':' || chr(10) || '    v_' || p_size || ' = 1' || chr(10)"""
+
+
+def _sources(spark, sf) -> DataFrame:
+    """A small program for each part."""
+    name = F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "_")
+    text = F.concat(F.lit("import os\n\ndef f_"), name, F.lit("(x):\n    return x\n\n\nclass C"), F.col("p_partkey").cast("string"), F.lit(":\n    v_"), F.col("p_size").cast("string"), F.lit(" = 1\n"))
+    return _read(spark, sf, "part").select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file"), F.col("p_partkey").alias("ordinal"), text.alias("text"))
+
+
+@query(f"""SELECT 'src/' || p_partkey || '.py' AS file, unnest([0, 1, 2])::INT AS idx, unnest([1, 3, 7])::INT AS start_line, unnest([1, 4, 8])::INT AS end_line,
+unnest(['import os', 'def f_' || {_NAME} || '(x):' || chr(10) || '    return x', 'class C' || p_partkey || ':' || chr(10) || '    v_' || p_size || ' = 1']) AS text FROM part""")
+def program_chunks(spark, sf):
+    return chunking.chunk_files(_sources(spark, sf), None).select("file", "idx", "start_line", "end_line", "text")
+
+
+@query(f"""SELECT p_partkey AS ordinal, unnest(['f_' || {_NAME}, 'C' || p_partkey, 'v_' || p_size]) AS name, unnest(['function', 'type', 'value']) AS kind FROM part""")
+def program_identifiers(spark, sf):
+    return chunking.identifier_table(_sources(spark, sf)).select("ordinal", "name", "kind")
+
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(x, 1) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> '')),
+s AS (SELECT doc_id, n, CASE WHEN n < max(n) OVER (PARTITION BY doc_id) THEN strlen(line) + 1 ELSE strlen(line) END AS bytes FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i FROM s WHERE bytes > 0),
+g AS (SELECT doc_id, i, bytes, 1 AS chunk, bytes AS used, n AS first FROM k WHERE i = 1
+  UNION ALL SELECT k.doc_id, k.i, k.bytes, CASE WHEN used + k.bytes <= 40000 THEN chunk ELSE chunk + 1 END, CASE WHEN used + k.bytes <= 40000 THEN used + k.bytes ELSE k.bytes END, CASE WHEN used + k.bytes <= 40000 THEN first ELSE n END
+  FROM g JOIN k ON k.doc_id = g.doc_id AND k.i = g.i + 1)
+SELECT doc_id::VARCHAR AS file, (chunk - 1)::INT AS idx, min(first)::INT AS start_line, max(used)::BIGINT AS bytes FROM g GROUP BY doc_id, chunk""")
+def packed_lines(spark, sf):
+    """Line packing where no line is too long: 10,000 tokens of four bytes."""
+    files = _read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+    got = chunking.chunk_files(files, 10_000, 0)
+    return got.select("file", "idx", "start_line", F.octet_length("text").cast("long").alias("bytes"))

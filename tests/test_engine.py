@@ -19,7 +19,7 @@ def chunks(spark, *texts):
 
 @pytest.mark.parametrize(
     ("name", "words"),
-    [("XMLHttpRequest", ["xml", "http", "request"]), ("getURL", ["get", "url"]), ("foo2Bar", ["foo2", "bar"]), ("snake_case", ["snake", "case"]), ("", [])],
+    [("JSONStreamReader", ["json", "stream", "reader"]), ("parseCSV", ["parse", "csv"]), ("row7Total", ["row7", "total"]), ("two_words", ["two", "words"]), ("", [])],
 )
 def test_split_identifier(spark, name, words):
     assert spark.createDataFrame([(name,)], "n string").select(tx.split_identifier(F.col("n"))).first()[0] == words
@@ -31,7 +31,7 @@ def test_extension(spark, path, ext):
 
 
 def test_lexical_index(spark):
-    c = chunks(spark, "function handleRequest req", "function handleResponse res", "const x = 1", "")
+    c = chunks(spark, "function openWindow win", "function closeWindow win2", "const y = 2", "")
     index = ix.LexicalIndex.build(c)
     assert [r["len"] for r in index.lengths.orderBy("ordinal").collect()] == [4, 4, 3, 0]
     assert (index.n, index.mean_length) == (4, 11 / 4)
@@ -88,7 +88,9 @@ def test_single_entry_evidence(spark):
 def test_path_filter(spark):
     paths = spark.createDataFrame([("src/a.ts",), ("src/deep/ignored.ts",), ("docs/a.md",), ("src/ignored.d/x",)], "p string")
     keep = paths.filter(path_filter(F.col("p"), ignore=["**/ignore*", "!src/ignored.d/x"], only=["src/**"])).collect()
-    assert {r[0] for r in keep} == {"src/a.ts", "src/ignored.d/x"}
+    assert {r[0] for r in keep} == {"src/a.ts"}  # nothing below an ignored folder is taken back
+    keep = paths.filter(path_filter(F.col("p"), ignore=["**/ignore*", "!src/ignored.d"])).collect()
+    assert {r[0] for r in keep} == {"src/a.ts", "docs/a.md", "src/ignored.d/x"}
 
 
 def test_manifest_and_ordinals(spark):
@@ -112,11 +114,67 @@ def test_metrics(spark):
     assert metrics.fnv1a("a") == 0xE40C292C
 
 
-@pytest.mark.parametrize("text", ["", "one line", "a\nb\nc\n" * 50, "x" * 500 + "\n" + "word " * 400])
+@pytest.mark.parametrize("text", ["", "one line", "a\nb\nc\n" * 50, "x y " * 500 + "\n" + "word " * 400 + "\nend\n", "x\u2028y z\x0cw\n" * 9])
 def test_line_chunks_cover_all(text):
-    got = chunking.line_chunks(text, 16, 0)
+    got, lost = chunking.chunks(text, "", 16, 0)
     assert "".join(text[a:b] for a, b, _, _ in got) == text
+    assert lost == []
     assert all(chunking.byte_tokens(text[a:b]) <= 16 for a, b, _, _ in got)
+    for a, b, first, last in got:
+        assert first == text.count("\n", 0, a) + 1
+        assert last == text.count("\n", 0, max(a, b - text[a:b].endswith("\n"))) + 1
+
+
+def test_long_lines_share_no_chunk_and_lose_what_cannot_be_cut():
+    text = "short\n" + "word " * 30 + "\nend\n" + "x" * 200 + "\nlast\n"
+    got, lost = chunking.chunks(text, "", 16, 0)
+    parts = [text[a:b] for a, b, _, _ in got]
+    assert parts[0] == "short\n"
+    assert parts[-1] == "last\n"
+    assert "end\n" in parts
+    assert lost == [(4, 4, 51)]
+    again, _ = chunking.chunks("a\n" * 20, "", 8, 2)
+    assert [(a, b) for a, b, _, _ in again] == [(0, 32), (28, 40)]  # 32 bytes fill a chunk; the last has room for two lines more
+
+
+PROGRAM = """# lead
+# two
+import os
+
+# lone
+
+
+@wrap
+def f(a):
+    # inner
+    x, (y, *z) = 1, (2, 3)
+    return x
+
+class K:
+    v: int = 3
+    def m(self):
+        return self.v
+    def n(self):
+        self.q = 1
+        return 2
+"""
+
+
+def test_program_chunks_and_names():
+    whole = [PROGRAM[a:b] for a, b, _, _ in chunking.chunks(PROGRAM, ".py")[0]]
+    assert [w.split("\n")[0] for w in whole] == ["# lead", "# lone", "@wrap", "class K:"]
+    parts = [PROGRAM[a:b] for a, b, _, _ in chunking.chunks(PROGRAM, ".py", 14)[0]]
+    assert all(chunking.byte_tokens(p) <= 14 for p in parts)
+    assert any(p.strip().startswith("def m") and "return self.v" in p for p in parts)
+    assert chunking.identifiers(PROGRAM, ".py") == [("K", "type"), ("f", "function"), ("m", "function"), ("n", "function"), ("v", "value"), ("x", "value"), ("y", "value"), ("z", "value")]
+    assert chunking.chunks("def broken(:\n  x", ".py")[0] == [(0, 16, 1, 2)]
+    rust = "pub struct Point { x: i32 }\n\nimpl Point {\n    fn new() -> Point {\n        todo!()\n    }\n}\nconst LIMIT: u8 = 3;\n"
+    assert len(chunking.chunks(rust, ".rs")[0]) == 3
+    assert chunking.identifiers(rust, ".rs") == [("LIMIT", "value"), ("Point", "type"), ("new", "function")]
+    assert ("sum", "function") in chunking.identifiers("fun sum(a: Int) = a\nval z = 1", ".kt")
+    assert ("run", "function") in chunking.identifiers("class A {\n  public void run() {\n  }\n}", ".java")
+    assert chunking.token_cap(None, 512, 256) == 256
+    assert chunking.combined(len, lambda t: 3)("ab") == 3
 
 
 def test_snapshot_swap(spark, tmp_path):
@@ -125,7 +183,10 @@ def test_snapshot_swap(spark, tmp_path):
     snapshot.commit(spark, root, {"chunks": spark.range(3)})
     snapshot.commit(spark, root, {"chunks": spark.range(5)})
     assert snapshot.load(spark, root, "chunks", ["id"]).count() == 5
-    snapshot.reset(spark, root)
+    assert len([p for p in (tmp_path / "index").iterdir() if p.is_dir()]) == 2
+    assert snapshot.vacuum(spark, root) > 0
+    assert snapshot.load(spark, root, "chunks").count() == 5
+    assert snapshot.reset(spark, root) > 0
     assert snapshot.load(spark, root, "chunks") is None
 
 
@@ -198,3 +259,5 @@ def test_aliases(spark, tmp_path):
         aliases.request(spark, root, "b")
     with pytest.raises(ValueError):
         aliases.add(spark, root, "c", "x", other=1)
+    with pytest.raises(ValueError):
+        aliases.add(spark, root, "-c", "x")
