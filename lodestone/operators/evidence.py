@@ -28,10 +28,9 @@ PROMOTED = {
 
 def separation(rankings: DataFrame) -> DataFrame:
     """(query_id, channel, n, separation) over whole lists."""
-    w = Window.partitionBy("query_id", "channel")
-    n = rankings.withColumn("n", F.count(F.lit(1)).over(w))
-    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("score")))
-    got = n.groupBy("query_id", "channel").agg(F.max("n").alias("n"), at(F.lit(1)).alias("a"), at(F.least(F.col("n"), F.lit(10))).alias("b"))
+    deep = F.max(F.when(F.col("rank") <= 10, F.struct("rank", "score")))  # the tenth, or the last of a shorter list
+    top = F.max(F.when(F.col("rank") == 1, F.col("score")))
+    got = rankings.groupBy("query_id", "channel").agg(F.count(F.lit(1)).alias("n"), top.alias("a"), deep["score"].alias("b"))
     value = F.when(F.col("n") == 1, 1.0).otherwise(gap(F.col("a"), F.col("b")))
     return got.select("query_id", "channel", "n", value.alias("separation"))
 

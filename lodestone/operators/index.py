@@ -33,17 +33,22 @@ PUSHED_TERMS = 5000
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings by term, chunk lengths, and the two corpus numbers that ranking needs."""
+    """Written postings, chunk lengths and document frequencies, and the two corpus numbers that ranking needs.
+
+    Postings are dealt by chunk and sorted by term within each file: a query's terms prune row groups, and the terms of a chunk meet in
+    one task, so partial sums of scores are whole before they are shuffled.
+    """
 
     postings: DataFrame
     lengths: DataFrame
+    frequencies: DataFrame
     n: int
     mean_length: float
 
     @classmethod
     def build(cls, chunks: DataFrame) -> LexicalIndex:
-        """Tokenizes once. Postings are written in the order of terms, so that a query's terms prune row groups; a frequent term is split by ordinal."""
-        posts = postings(chunks).repartitionByRange("term", "ordinal").sortWithinPartitions("term", "ordinal")
+        """Tokenizes once; the one shuffle is that of the texts by chunk."""
+        posts = postings(chunks.repartition("ordinal")).sortWithinPartitions("term", "ordinal")
         return cls.of(stored(posts, "postings"), chunks.select("ordinal"))
 
     @classmethod
@@ -52,7 +57,7 @@ class LexicalIndex:
         own = posts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("len"))
         lens = stored(ordinals.join(own, "ordinal", "left").select("ordinal", F.coalesce("len", F.lit(0)).cast("long").alias("len")), "lengths")
         row = lens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("m")).first()
-        return cls(posts, lens, row["n"], row["m"] or 0.0)
+        return cls(posts, lens, stored(document_frequency(posts), "frequencies"), row["n"], row["m"] or 0.0)
 
     def of_terms(self, terms: DataFrame) -> DataFrame:
         """Postings of (term) rows: few terms are pushed to the scan, many are joined."""
@@ -63,15 +68,13 @@ class LexicalIndex:
 
     def idf(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, idf), of the given terms only, if there are any given."""
-        posts = self.postings if terms is None else self.of_terms(terms)
-        return document_frequency(posts).select("term", bm25_idf(F.lit(self.n), F.col("df")).alias("idf"))
+        df = self.frequencies if terms is None else self.frequencies.join(terms.select("term").distinct(), "term", "left_semi")
+        return df.select("term", bm25_idf(F.lit(self.n), F.col("df")).alias("idf"))
 
     def rebuilt(self, retained: DataFrame, added: DataFrame) -> LexicalIndex:
         """The index after a change: ``retained`` (old, new ordinal) keeps postings, ``added`` chunks are indexed."""
-        posts = remap(self.postings, retained).unionByName(postings(added))
-        lens = remap(self.lengths, retained).unionByName(lengths(added))
-        row = lens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("m")).first()
-        return LexicalIndex(posts, lens, row["n"], row["m"] or 0.0)
+        posts = stored(remap(self.postings, retained).unionByName(postings(added)), "postings")
+        return LexicalIndex.of(posts, remap(self.lengths, retained).select("ordinal").unionByName(added.select("ordinal")))
 
 
 def remap(rows: DataFrame, retained: DataFrame) -> DataFrame:

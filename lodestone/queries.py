@@ -133,7 +133,7 @@ def tokenize_counts(spark, sf):
 @query("WITH " + BASE + "SELECT term, df, round(idf, 6) AS idf FROM idf")
 def term_df(spark, sf):
     index = ix.LexicalIndex.build(_chunks(spark, sf))
-    return ix.document_frequency(index.postings).join(index.idf(), "term").select("term", "df", *_six("idf"))
+    return index.frequencies.join(index.idf(), "term").select("term", "df", *_six("idf"))
 
 
 @query("WITH " + BASE + "SELECT ordinal, len FROM lens")
@@ -143,10 +143,9 @@ def chunk_lengths(spark, sf):
 
 @query("WITH " + BASE + "SELECT n::BIGINT AS chunks, round(m, 6) AS mean_length, (SELECT count(*) FROM idf) AS terms, (SELECT count(*) FROM post) AS postings FROM st")
 def bm25_stats(spark, sf):
-    chunks = _chunks(spark, sf)
-    lens = ix.lengths(chunks).agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("len"), 6).alias("mean_length"))
-    posts = ix.postings(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("postings"))
-    return lens.crossJoin(posts)  # two single rows
+    index = ix.LexicalIndex.build(_chunks(spark, sf))
+    sums = index.frequencies.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"))
+    return sums.select(F.lit(index.n).cast("long").alias("chunks"), F.round(F.lit(index.mean_length), 6).alias("mean_length"), "terms", "postings")
 
 
 def _top_sql(channel: str) -> str:
@@ -503,7 +502,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY mask, query_id ORDER BY round(s
 pt AS (SELECT m.mask, g.query_id, avg(CASE WHEN rank <= 20 THEN 1.0::DOUBLE ELSE 0 END) AS recall FROM (SELECT DISTINCT mask FROM mc) m CROSS JOIN gold g LEFT JOIN fr ON fr.mask = m.mask AND fr.query_id = g.query_id AND fr.ordinal = g.ordinal GROUP BY ALL),
 ut AS (SELECT mask, avg(recall) AS u FROM pt GROUP BY 1 UNION ALL SELECT 0, 0.0::DOUBLE),
 ch(i, channel) AS (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(rk.CHANNELS))})
-SELECT channel, round(sum((b.u - a.u) * factorial(bit_count(a.mask)) * factorial(4 - bit_count(a.mask)) / 120.0::DOUBLE), 6) AS value FROM ch JOIN ut a ON (a.mask >> i) & 1 = 0 JOIN ut b ON b.mask = a.mask + (1 << i) GROUP BY 1""")
+SELECT channel, round(sum((b.u - a.u) * factorial(bit_count(a.mask)) * factorial(4 - bit_count(a.mask)) / 120.0::DOUBLE), 6) + 0.0::DOUBLE AS value FROM ch JOIN ut a ON (a.mask >> i) & 1 = 0 JOIN ut b ON b.mask = a.mask + (1 << i) GROUP BY 1""")
 def shapley_values(spark, sf):
     from pyspark.sql.window import Window
 
@@ -517,7 +516,7 @@ def shapley_values(spark, sf):
     hit = asked.join(top.withColumn("hit", F.lit(1.0)), ["mask", "query_id", "ordinal"], "left")
     per = hit.groupBy("mask", "query_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
     utility = per.groupBy("mask").agg(F.avg("recall").alias("utility"))
-    return metrics.shapley(utility, rk.CHANNELS).select("channel", *_six("value"))
+    return metrics.shapley(utility, rk.CHANNELS).select("channel", (F.round("value", 6) + 0.0).alias("value"))  # no negative zero
 
 
 @query(f"""{_RR}, per AS (SELECT query_id, avg(CASE WHEN rank <= 20 THEN 1.0::DOUBLE ELSE 0 END) AS recall, count(*) AS n FROM tr GROUP BY 1),
