@@ -858,15 +858,15 @@ def program_identifiers(spark, sf):
     return chunking.identifier_table(_sources(spark, sf)).select("ordinal", "name", "kind")
 
 
-@query("""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(x, 1) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> '')),
+@query("""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(x, 1) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '([^\\n]{100})', '\\1' || chr(10), 'g'), chr(10)) AS x FROM documents WHERE text <> '')),
 s AS (SELECT doc_id, n, CASE WHEN n < max(n) OVER (PARTITION BY doc_id) THEN strlen(line) + 1 ELSE strlen(line) END AS bytes FROM l),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i FROM s WHERE bytes > 0),
 g AS (SELECT doc_id, i, bytes, 1 AS chunk, bytes AS used, n AS first FROM k WHERE i = 1
-  UNION ALL SELECT k.doc_id, k.i, k.bytes, CASE WHEN used + k.bytes <= 40000 THEN chunk ELSE chunk + 1 END, CASE WHEN used + k.bytes <= 40000 THEN used + k.bytes ELSE k.bytes END, CASE WHEN used + k.bytes <= 40000 THEN first ELSE n END
+  UNION ALL SELECT k.doc_id, k.i, k.bytes, CASE WHEN used + k.bytes <= 2000 THEN chunk ELSE chunk + 1 END, CASE WHEN used + k.bytes <= 2000 THEN used + k.bytes ELSE k.bytes END, CASE WHEN used + k.bytes <= 2000 THEN first ELSE n END
   FROM g JOIN k ON k.doc_id = g.doc_id AND k.i = g.i + 1)
 SELECT doc_id::VARCHAR AS file, (chunk - 1)::INT AS idx, min(first)::INT AS start_line, max(used)::BIGINT AS bytes FROM g GROUP BY doc_id, chunk""")
 def packed_lines(spark, sf):
-    """Line packing where no line is too long: 10,000 tokens of four bytes."""
-    files = _read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
-    got = chunking.chunk_files(files, 10_000, 0)
+    """Line packing where no line is too long: texts broken every 100 characters, chunks of 500 tokens of four bytes."""
+    files = _read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), F.regexp_replace("text", "([^\\n]{100})", "$1\n").alias("text"))
+    got = chunking.chunk_files(files, 500, 0)
     return got.select("file", "idx", "start_line", F.octet_length("text").cast("long").alias("bytes"))
