@@ -379,9 +379,8 @@ def test_chains_near_the_threshold(spark):
             if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 root = [root[j] if x == root[i] else x for x in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for bucket in (8, 512):
-        found = {r["id"]: r["root"] for r in near_copies.classes(docs, bucket=bucket).collect()}
-        assert len({(found[i], root[i]) for i in range(len(texts))}) == len(set(root)) == len(set(found.values()))
+    found = {r["id"]: r["root"] for r in near_copies.classes(docs, bucket=8).collect()}
+    assert len({(found[i], root[i]) for i in range(len(texts))}) == len(set(root)) == len(set(found.values()))
 
 
 def test_large_vectors_and_repeated_ids(spark):
