@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact or near copies (five-word shingles, 0.8) stays."""
+    """One document of each group of copies stays: equal texts, SimHash classes (two bits), near copies (five-word shingles, 0.8)."""
     return near_copies.stage(docs)
 
 

@@ -1,8 +1,13 @@
-"""Near-duplicate stage: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near-duplicate stage: SimHash classes, and texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Plain SimHash blocks cannot give this threshold right: at similarity 0.8 two 64-bit fingerprints differ by about 10 bits, and
+The stage begins with the classes of ``simhash_dedup`` as they are: fingerprints of three-word shingles, repeats included, at most two
+bits apart, directly or through others. They enter the components as links that hold already (``known``), so a copy may be
+linked by fingerprint at one end and by shingle sets at the other. Fingerprints weigh shingles by their repeats: texts that are mostly the
+same repeated line are copies by them, whatever else they hold.
+
+Fingerprints alone would leave most near copies: at similarity 0.8 two 64-bit fingerprints differ by about 10 bits, and
 blocks that a pair at 15 bits must share are 4 bits wide, so nearly all pairs would be candidates (README, "Near
-duplicates"). So the blocks here are cut from min-wise samples of the shingles instead of from majority bits: ``BANDS`` blocks of
+duplicates"). So a second step finds those: its blocks are cut from min-wise samples of the shingles, ``BANDS`` blocks of
 ``ROWS`` minima each, of which a pair at 0.8 shares at least one with a probability of 0.9997. The rest is as in
 ``simhash_dedup``: equal texts fall together first, the texts of a block are verified, and components are formed.
 
@@ -32,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from lodestone.llm import simhash_dedup
 from lodestone.llm.common import connected_components, map_arrow, materialise
 from lodestone.llm.simhash_dedup import shingle_hashes
 
@@ -93,6 +99,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(rows, run, "id long, node long, keys array<long>, sig binary, size long")
 
 
+def fingerprint_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(u, v): each text with words that shares its SimHash class with a smaller one, and the smallest of the class."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    worded = docs.select(text.alias("text")).filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    marks = simhash_dedup.fingerprints(worded.select(F.xxhash64("text").alias("node"), "text"), "node")
+    found = simhash_dedup.components(materialise(marks.distinct(), "fingerprints"))  # equal texts once
+    return found.filter("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
+
+
 def _blocks(keyed: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
     """(nodes: texts to compare with each other, at most about ``bucket``; the rows of keys shared by more texts)."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("n > 1")
@@ -278,15 +293,25 @@ def verified(members: DataFrame, texts: DataFrame, docs: DataFrame, text_col: st
     return sure.unionByName(linked).unionByName(map_arrow(exact.select("u", "v", "a", "b"), compare, "u long, v long"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = 512, most: int = MOST_SHINGLES) -> DataFrame:
-    """(id, node, root): rows with the same root are exact or near copies, directly or through others."""
+def classes(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bucket: int = 512,
+    most: int = MOST_SHINGLES,
+    known: DataFrame | None = None,
+) -> DataFrame:
+    """(id, node, root): rows with the same root are exact or near copies, directly or through others; ``known`` has (u, v), nodes that are linked beforehand."""
     rows = materialise(signatures(docs, id_col, text_col), "signatures")
     texts = materialise(
         rows.filter(F.col("sig").isNotNull()).groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("size").alias("size")), "texts"
     )
     blocks, many = candidates(texts, bucket)
     members = blocks.select(F.xxhash64("nodes").alias("block"), F.explode("nodes").alias("node")).withColumn("root", F.col("node"))
-    roots = materialise(connected_components(verified(members, texts, docs, text_col, most)), "first-roots")
+    links = verified(members, texts, docs, text_col, most)
+    if known is not None:
+        links = known.unionByName(links)
+    roots = materialise(connected_components(links), "first-roots")
     rest = remaining(many, roots, texts, bucket)
     if rest is not None:
         links = verified(rest, texts, docs, text_col, most)
@@ -303,7 +328,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
 
 def stage(docs: DataFrame) -> DataFrame:
     """One row of each group; columns as given."""
-    found = materialise(classes(docs), "near-copies")
+    known = materialise(fingerprint_links(docs), "fingerprint-links")
+    found = materialise(classes(docs, known=known), "near-copies")
     single = materialise(found.groupBy("root", "node", "id").agg(F.count(F.lit(1)).alias("n")), "counted-rows")
     order = F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("node").alias("node"))
     best = materialise(single.groupBy("root").agg(F.min(order).alias("best")).select("best.id", "best.node"), "kept-texts")

@@ -250,6 +250,37 @@ def test_near_copies(spark, docs, none):
     assert near_copies.stage(none).count() == 0
 
 
+def test_near_copy_stage_keeps_to_simhash_classes(spark):
+    """Kept ids are those of brute-force components over both links: fingerprints within two bits, or shingle sets at 0.8."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(240)]
+        for _ in range(25):
+            own = list(base)
+            for at in rng.choice(240, int(rng.integers(1, 12)), replace=False):
+                own[at] = f"x{rng.integers(0, 99999)}"
+            texts.append(" ".join(own))
+    line = "the same line again and again "
+    texts += [line * 200 + " ".join(f"r{n}_{k}" for k in range(40)) for n in range(3)]
+    marks = [simhash_dedup.fingerprint(t.encode()) for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+
+    def kept(by_mark, by_set):
+        root = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                alike = by_set and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+                if root[i] != root[j] and (alike or by_mark and (marks[i] ^ marks[j]).bit_count() <= simhash_dedup.RADIUS):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if x == high else x for x in root]
+        return sorted(set(root))
+
+    assert kept(True, True) != kept(False, True) and kept(True, True) != kept(True, False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.stage(docs).collect()) == kept(True, True)
+
+
 def test_near_copy_classes_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     texts = []
