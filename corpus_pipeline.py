@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm import decontaminate, langid, near_copies, packing, pii
 from lodestone.llm.common import materialise, table
 
+#: Chunks in each generation of an encoder's cache: fewer than by default, since the executors' memory holds earlier stages as well.
+CACHED = 150_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or without a language of at least 0.5 posterior, go."""
@@ -35,7 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences of 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached=CACHED)
 
 
 STAGES = [

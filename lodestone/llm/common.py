@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,21 +51,32 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(session._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema, encodes: bool = False) -> DataFrame:
     """``df.mapInArrow`` in batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``, after which a worker gives its free memory back.
 
-    Texts can be long, so Spark's usual 10,000 rows would hold hundreds of megabytes on either side.
+    Texts can be long, so Spark's usual 10,000 rows would hold hundreds of megabytes on either side. Workers serve one stage after the other:
+    unless ``encodes``, a task first drops the encoders that its worker holds from an earlier one.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def lean(batches: Iterator) -> Iterator:
+        if not encodes:
+            drop_encoders()
         yield from run(batches)
         give_back()
 
     return df.mapInArrow(lean, schema)
 
 
+def drop_encoders() -> None:
+    """Frees the tokenizers and cached ids that a worker holds, over 100 MB."""
+    tokens = sys.modules.get("lodestone.llm.tokens")
+    if tokens is not None and tokens.encoder.cache_info().currsize:
+        tokens.encoder.cache_clear()
+        give_back()
+
+
 def give_back() -> None:
     """Returns what allocators hold but don't use, so that idle workers are small."""
     import ctypes

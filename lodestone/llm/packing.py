@@ -27,17 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import map_arrow, materialise
-from lodestone.llm.tokens import encoder
+from lodestone.llm.tokens import LIMIT, encoder
 
 CAPACITY = 4096
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, row): ``row`` numbers the documents of an input partition."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, cached: int = LIMIT) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, row): ``row`` numbers the documents of an input partition; ``cached`` bounds an encoder's cache."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, row = encoder(tokenizer, True), 0
+        code, row = encoder(tokenizer, True, limit=cached), 0
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
+    return map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long", encodes=True)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +124,11 @@ def _join_open(members: list[list[int]], waiting: list[list[int]], capacity: int
         keep(found - (capacity - gap), into)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, shard: int = 50_000) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, shard: int = 50_000, cached: int = LIMIT
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
-    cut = materialise(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    cut = materialise(pieces(docs, tokenizer, end_id, capacity, cached), "pieces")
     shards = max(1, -(-cut.count() // shard))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -188,7 +188,7 @@ def write(
     ordered = rows.repartitionByRange(parts, "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     # The separator after each record is the magic that every archive ends with.
     (
-        map_arrow(ordered, run, "value binary")
+        map_arrow(ordered, run, "value binary", encodes=True)
         .select(F.col("value").cast("string").alias("value"))
         .write.option("maxRecordsPerFile", 1)
         .option("encoding", "ISO-8859-1")
@@ -222,7 +222,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*same, *[pa.array(c, pa.int64()) for c in cols]], names=FOUND_NAMES)
 
-    return map_arrow(_files(spark, path), run, FOUND)
+    return map_arrow(_files(spark, path), run, FOUND, encodes=True)  # a writer may follow in the same worker
 
 
 def read_documents(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:

@@ -3,7 +3,7 @@
 ``WordEncoder`` cuts a text where the tokenizer's own pre-tokenizer always cuts, encodes each distinct chunk once with
 the tokenizers library and joins the little-endian ids. The ids are those of ``Tokenizer.encode(text,
 add_special_tokens=False)``; a text that holds an added token's string is given to the library whole. The cache has two
-generations of at most about ``LIMIT`` chunks of at most ``LONGEST`` characters: chunks in use move to the younger, the
+generations of at most about ``limit`` chunks of at most ``LONGEST`` characters: chunks in use move to the younger, the
 older is dropped when that is full. So a worker's memory is bounded whatever the corpus holds.
 """
 
@@ -58,13 +58,13 @@ class _Cache(dict):
 class WordEncoder:
     """Encodes whole texts; ids are ``width`` bytes each, little-endian."""
 
-    def __init__(self, path: str, lowers: bool, width: int = 4):
+    def __init__(self, path: str, lowers: bool, width: int = 4, limit: int = LIMIT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
-        self.lowers, self.width = lowers, width
+        self.lowers, self.width, self.limit = lowers, width, limit
         self.chunks = drop_space if lowers else keep_space
         self.ids = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -74,7 +74,7 @@ class WordEncoder:
         """Ids of the whole text."""
         if any(x in text for x in self.added):
             return self._plain(text)
-        if len(self.cache) > LIMIT:
+        if len(self.cache) > self.limit:
             young, self.cache.older = self.cache, {}
             self.cache = _Cache(self._learn, young)
         return b"".join(map(self.cache.__getitem__, self.chunks(text)))
@@ -110,9 +110,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, lowers: bool, width: int = 4) -> WordEncoder:
+def encoder(path: str, lowers: bool, width: int = 4, limit: int = LIMIT) -> WordEncoder:
     """One encoder for each tokenizer file in a worker process."""
-    return WordEncoder(path, lowers, width)
+    return WordEncoder(path, lowers, width, limit)
 
 
 @lru_cache(maxsize=4)
